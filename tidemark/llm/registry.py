@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing
+from tidemark.llm import mixing, pieces
 
-QUERIES = {"op2_mix_sources": mixing.op2_mix_sources}
+QUERIES = {
+    "op2_mix_sources": mixing.op2_mix_sources,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
+}
 ORACLE_SQL = {"op2_mix_sources": mixing.OP2_SQL}
