@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, pieces
+from tidemark.llm import matroska, mixing, pieces, token_shards
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op8_token_shards": token_shards.op8_token_shards,
     "op9_sentencepiece": pieces.op9_sentencepiece,
+    "op10_matroska": matroska.op10_matroska,
 }
 ORACLE_SQL = {"op2_mix_sources": mixing.OP2_SQL}
