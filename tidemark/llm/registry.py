@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import matroska, mixing, pieces, token_shards
+from tidemark.llm import matroska, mixing, pieces, quality, token_shards
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op4_quality_rules": quality.op4_quality_rules,
     "op8_token_shards": token_shards.op8_token_shards,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_matroska": matroska.op10_matroska,
 }
-ORACLE_SQL = {"op2_mix_sources": mixing.OP2_SQL}
+ORACLE_SQL = {"op2_mix_sources": mixing.OP2_SQL, "op4_quality_rules": quality.OP4_SQL}
