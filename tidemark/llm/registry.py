@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import matroska, mixing, pieces, quality, token_shards
+from tidemark.llm import matroska, minhash, mixing, pieces, quality, token_shards
 
 QUERIES = {
+    "op1_minhash_dedup": minhash.op1_minhash_dedup,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_quality_rules": quality.op4_quality_rules,
     "op8_token_shards": token_shards.op8_token_shards,
