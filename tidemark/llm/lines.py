@@ -202,22 +202,23 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """Per document that loses lines: ``place, text_hash`` and ``removed``, the numbers of its lines."""
-    lines = numbered_lines(docs)
     n = F.length("norm")
     e, e1 = cut(n), cut(n - 1)
     key = lambda side, size, start: F.when(n >= MIN_CHARS, F.xxhash64(F.lit(side), size, F.substring("norm", start, size)))
-    keyed = lines.select(
-        "h", "g", "place", n.alias("chars"),
+    # the only pass that normalises and hashes all lines
+    keyed = numbered_lines(docs).select(
+        "place", "text_hash", "line_no", "h", "g", n.alias("chars"),
         key("head", e, F.lit(1)).alias("k0"), key("tail", e, n - e + 1).alias("k1"),
         F.when(e != e1, key("head", e1, F.lit(1))).alias("k2"), F.when(e != e1, key("tail", e1, n - e1 + 1)).alias("k3"),
     )
+    keyed = materialize(keyed, "line-keys")
     distinct = keyed.groupBy("h", "g").agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("place"), *(F.max(c).alias(c) for c in ("chars", "k0", "k1", "k2", "k3")))
     distinct = materialize(distinct, "line-distinct")
     near = near_lines(docs, distinct).withColumn("near", F.lit(True))
     repeated = distinct.where(F.col("times") > 1).select("h", "g", F.col("place").alias("first"))
     gone = materialize(repeated.join(near, ["h", "g"], "full"), "line-gone")
 
-    met = lines.drop("norm").join(gone, ["h", "g"])
+    met = materialize(keyed.select("place", "text_hash", "line_no", "h", "g").join(gone, ["h", "g"]), "line-met")
     own = met.where(F.col("near").isNull() & (F.col("place") == F.col("first")))
     stays = own.groupBy("place", "text_hash", "h", "g").agg(F.min("line_no").alias("line_no"))
     later = met.where(F.col("near").isNotNull() | (F.col("place") != F.col("first"))).select("place", "text_hash", "line_no")
