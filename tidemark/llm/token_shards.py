@@ -93,13 +93,16 @@ def _slot_keys(docs: np.ndarray, known: np.ndarray) -> np.ndarray:
     head = np.r_[True, (docs[1:] != docs[:-1]) | (known[1:] != known[:-1])] if len(docs) else np.zeros(0, bool)
     first = np.flatnonzero(head)
     nth = np.arange(len(docs)) - np.repeat(first, np.diff(np.r_[first, len(docs)]))
-    return mix64(docs.view(np.uint64)) + mix64((2 * nth + ~known).astype(np.uint64) + np.uint64(1))
+    salt = (2 * nth + ~known).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return mix64(mix64(docs.view(np.uint64)) + salt)
 
 
 def _shard(part: int, seq: int, docs: np.ndarray, known: np.ndarray, ids: np.ndarray, sizes: np.ndarray, width: int) -> dict:
     keys = _slot_keys(docs, known)
     hashed = PerfectHash.build(keys)
     slot = hashed.look_up(keys)
+    if len(np.unique(slot)) != len(keys):
+        raise ValueError("two keys of a shard have the same hash")
     starts = np.cumsum(sizes) - sizes
     by_slot = [np.empty(len(keys), kind) for kind in ("<u8", "<u4", "<u4")]
     for column, values in zip(by_slot, (starts, sizes, fingerprint(keys)), strict=True):
