@@ -172,6 +172,15 @@ class Epoch:
         return self.circuit._total(self.node.inputs[i], self.epoch)
 
 
+class _NoEpoch(Epoch):
+    """An epoch before anything came: only the plan's types count."""
+
+    def change(self, i: int, epoch: int | None = None) -> DataFrame:
+        return self.circuit._empty(self.node.inputs[i])
+
+    old = new = change
+
+
 def _linear(op: Callable[..., DataFrame]) -> Callable:
     return lambda at: op(*at.changes())
 
@@ -260,7 +269,7 @@ class Circuit:
 
     def _empty(self, node: Node) -> DataFrame:
         if node.id not in self.schemas:
-            self.schemas[node.id] = node.rule(Epoch(self, node, 0)).schema
+            self.schemas[node.id] = node.rule(_NoEpoch(self, node, 0)).schema
         return self.spark.createDataFrame([], self.schemas[node.id])
 
     def _change(self, node: Node, epoch: int) -> DataFrame:

@@ -38,8 +38,8 @@ def run(circuit: Circuit, source: str, stream: DataFrame, checkpoint: str, sink:
 class _Records(StatefulProcessor):
     """Per group the net weight of every value; emits how the group's aggregate changes."""
 
-    def __init__(self, value: str, kind: str, aggregate: str):
-        self.value, self.kind, self.aggregate = value, kind, aggregate
+    def __init__(self, kind: str, aggregate: str):
+        self.kind, self.aggregate = kind, aggregate
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.weights = handle.getMapState("weights", f"v {self.kind}", "w long")
@@ -62,7 +62,7 @@ class _Records(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         before = self._result()
         for frame in rows:
-            for v, w in zip(frame[self.value].tolist(), frame[W].tolist(), strict=True):
+            for v, w in zip(frame["value"].tolist(), frame["weight"].tolist(), strict=True):
                 held = self.weights.getValue((v,))[0] if self.weights.containsKey((v,)) else 0
                 if held + w:
                     self.weights.updateValue((v,), (held + w,))
@@ -88,9 +88,9 @@ def stateful_group_by(stream: DataFrame, key: str, value: str, aggregate: str =
     kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, value)}
     out = "bigint" if aggregate == "count" else kinds[value]
     return (
-        stream.select(key, value, W)
-        .groupBy(key)
-        .transformWithStateInPandas(_Records(value, kinds[value], aggregate), outputStructType=f"key {kinds[key]}, value {out}, {W} bigint", outputMode="Update", timeMode="None")
+        stream.select(F.col(key).alias("key"), F.col(value).alias("value"), F.col(W).alias("weight"))
+        .groupBy("key")
+        .transformWithStateInPandas(_Records(kinds[value], aggregate), outputStructType=f"key {kinds[key]}, value {out}, {W} bigint", outputMode="Update", timeMode="None")
     )
 
 
