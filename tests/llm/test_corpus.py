@@ -146,7 +146,9 @@ def test_line_dedup(spark):
     want = brute_lines(values)
     got = {r.place: r.removed for r in lines.removed_lines(frame(spark, values)).collect()}
     assert got == want
-    kept = {r.doc_id: r.text for r in lines.drop_lines(frame(spark, values)).collect()}
+    clashing = frame(spark, values).withColumn("removed", F.lit(1)).withColumn("place", F.lit(2)).withColumn("text_hash", F.lit(3))
+    assert lines.drop_lines(clashing).columns == clashing.columns
+    kept = {r.doc_id: r.text for r in lines.drop_lines(clashing).collect()}
     for d, t, _ in values:
         if t is None or d not in want:
             assert kept[d] == t
@@ -166,7 +168,7 @@ def test_substring_dedup(spark):
     for _, t, _ in data:
         w = (t or "").split()
         counts.update(tuple(w[i : i + 35]) for i in range(len(w) - 34))
-    got = repeats.without_repeats(frame(spark, data).withColumn("kept_text", F.lit("clash"))).collect()
+    got = repeats.without_repeats(frame(spark, data).withColumn("kept_text", F.lit("clash")).withColumn("k", F.lit(1)).withColumn("places", F.lit(1))).collect()
     assert len(got) == len(data)
     for r in got:
         w = (r.text or "").split()

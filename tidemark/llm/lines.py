@@ -227,18 +227,19 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 
 def _with_removed(docs: DataFrame, columns: list) -> DataFrame:
-    """``docs`` (with ``place`` and ``text_hash`` added) beside its removed line numbers."""
-    removed = materialize(removed_lines(docs), "line-removed").hint("shuffle_hash")
-    keyed = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("place"), F.xxhash64("text").alias("text_hash"))
-    return keyed.join(removed, ["place", "text_hash"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    """Columns of ``docs`` beside ``_line_removed``, the numbers of the removed lines."""
+    removed = removed_lines(docs).toDF("_line_place", "_line_hash", "_line_removed")
+    removed = materialize(removed, "line-removed").hint("shuffle_hash")
+    keyed = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("_line_place"), F.xxhash64("text").alias("_line_hash"))
+    return keyed.join(removed, ["_line_place", "_line_hash"], "left").withColumn("_line_removed", F.coalesce("_line_removed", F.array().cast("array<int>")))
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """The documents without their removed lines; those left with no word though they had one go."""
     joined = _with_removed(docs, [F.col(c) for c in docs.columns])
-    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed", i))
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(lines, "\n"))
-    kept = joined.withColumn("text", text).where((F.size("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_line_removed", i))
+    text = F.when(F.size("_line_removed") == 0, F.col("text")).otherwise(F.array_join(lines, "\n"))
+    kept = joined.withColumn("text", text).where((F.size("_line_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.select(*docs.columns)
 
 
@@ -246,7 +247,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
     found = _with_removed(docs, [F.col("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines")])
-    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
+    return found.select("doc_id", "n_lines", F.size("_line_removed").cast("long").alias("n_removed"), F.array_join(F.col("_line_removed").cast("array<string>"), ",").alias("removed_lines"))
 
 
 OP3_SQL = rf"""

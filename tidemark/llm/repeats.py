@@ -100,7 +100,8 @@ def _bucketed(buckets: int, width: int, keys: np.ndarray, row: np.ndarray, place
 
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
-_HITS = pa.schema([("k", pa.int64()), ("places", pa.binary())])
+_KEY, _PLACES = "_repeat_key", "_repeat_places"
+_HITS = pa.schema([(_KEY, pa.int64()), (_PLACES, pa.binary())])
 
 
 def _sender(entries: Callable, buckets: int, width: int) -> Callable:
@@ -179,7 +180,7 @@ def _places(column: pa.Array) -> list[np.ndarray]:
 def _block_entries(batch: pa.RecordBatch) -> Iterator[tuple]:
     """Every stretch of BLOCK words of every text that holds a window."""
     data, offsets = utf8_parts(batch.column("text"))
-    all_keys = np.asarray(batch.column("k"))
+    all_keys = np.asarray(batch.column(_KEY))
     for a, b in row_slices(offsets, _CHUNK):
         found = scan.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         hashes, first, at = scan.windows(found, BLOCK)
@@ -193,7 +194,7 @@ def _block_entries(batch: pa.RecordBatch) -> Iterator[tuple]:
 def _window_entries(batch: pa.RecordBatch) -> Iterator[tuple]:
     """The windows around the hits of each text."""
     data, offsets = utf8_parts(batch.column("text"))
-    all_keys, hits = np.asarray(batch.column("k")), _places(batch.column("places"))
+    all_keys, hits = np.asarray(batch.column(_KEY)), _places(batch.column(_PLACES))
     for a, b in row_slices(offsets, _CHUNK):
         found = scan.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         hashes, first, at = scan.windows(found, WINDOW)
@@ -216,19 +217,19 @@ def _window_entries(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 def _matched(docs: DataFrame, entries: Callable, buckets: int, width: int, anchored: bool) -> DataFrame:
     packed = docs.mapInArrow(_sender(entries, buckets, width), "bucket int, entries binary")
-    hits = packed.groupBy("bucket").applyInArrow(_matcher(anchored), "k bigint, places binary")
-    return hits.groupBy("k").agg(F.collect_list("places").alias("places"))
+    hits = packed.groupBy("bucket").applyInArrow(_matcher(anchored), f"{_KEY} bigint, {_PLACES} binary")
+    return hits.groupBy(_KEY).agg(F.collect_list(_PLACES).alias(_PLACES))
 
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a key ``k`` per row, and per key the places of its repeated windows."""
+    """``docs`` with a key per row, and per key the places of its repeated windows."""
     tuned(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(_LEAST_BUCKETS, 1 << (size // _PER_BUCKET).bit_length())
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("k"), *docs.columns)
-    hits = _matched(keyed.select("k", "text"), _block_entries, buckets, 4, True)
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias(_KEY), *docs.columns)
+    hits = _matched(keyed.select(_KEY, "text"), _block_entries, buckets, 4, True)
     # with all columns, so that the last join finds its texts shuffled already
-    around = keyed.join(hits.hint("shuffle_hash"), "k")
+    around = keyed.join(hits.hint("shuffle_hash"), _KEY)
     found = _matched(around, _window_entries, buckets, 8, False)
     return keyed, found
 
@@ -244,14 +245,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept_text``: the words outside all repeats,
     joined by one space."""
     keyed, found = repeated_windows(docs)
-    joined = keyed.join(found.hint("shuffle_hash"), "k", "left").drop("k")
+    joined = keyed.join(found.hint("shuffle_hash"), _KEY, "left").drop(_KEY)
     added = {"n_words": "bigint", "n_removed": "bigint", "kept_text": "string"}
     kept = [c for c in docs.columns if c not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, texts = [], [], []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("places"), strict=True):
+            for text, places in zip(batch.column("text").to_pylist(), batch.column(_PLACES), strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 n_words.append(len(words))
                 if places.is_valid:
@@ -263,7 +264,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(texts, pa.string())})
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"{k} {v}" for k, v in added.items())])
-    return joined.select(*docs.columns, "places").mapInArrow(run, schema)
+    return joined.select(*docs.columns, _PLACES).mapInArrow(run, schema)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
