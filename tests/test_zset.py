@@ -96,3 +96,19 @@ def test_stream_operators(spark):
     assert cells(streams.differentiate(total, 3)) == cells(s)
     assert {r.x: r._w for r in streams.eliminate(s, "_epoch").collect()} == {1: 3}
     assert cells(streams.eliminate(streams.introduce(s))) == cells(s)
+
+
+def test_index_and_python_functions(spark):
+    import pandas as pd
+
+    from tidemark.functions import udf
+
+    a = z.index(ints(spark, {1: 2, 2: 1, 3: -1}), ["x"], 3)
+    plan = a.groupBy("x").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert plain(z.select(a, udf.predicate(lambda x: x % 2 == 1, "x"))) == {1: 2, 3: -1}
+
+    def double(x: pd.Series) -> pd.Series:
+        return x * 2
+
+    assert plain(z.project(a, udf.vectorised(double, "long", "x").alias("y"))) == {2: 2, 4: 1, 6: -1}

@@ -87,6 +87,13 @@ def weight_of(z: DataFrame, **row) -> int:
     return z.where(cond).agg(F.sum(W)).first()[0] or 0
 
 
+def index(z: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Rows clustered and sorted by key, so that joins and groupings on it need no further shuffle."""
+    columns = [F.col(k) for k in keys]
+    placed = z.repartition(partitions, *columns) if partitions else z.repartition(*columns)
+    return placed.sortWithinPartitions(*columns)
+
+
 # -- linear operators -------------------------------------------------------------------
 
 
