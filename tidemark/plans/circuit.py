@@ -101,14 +101,9 @@ class Node:
     # -- not linear -----------------------------------------------------------------
 
     def unique(self) -> Node:
-        """Distinct rows of positive weight. Of a node that is distinct already: the node."""
+        """Distinct rows of positive weight. A node that is distinct already (filters keep that) is its own."""
         if self.distinct:
             return self
-        at = self
-        while at.kind == "where" or at.kind == "unique":  # an inner distinct adds nothing
-            if at.kind == "unique":
-                return self if self.distinct else self.circuit._add("unique", (self,), _distinct, distinct=True, op=z.distinct)
-            at = at.inputs[0]
         return self.circuit._add("unique", (self,), _distinct, distinct=True, op=z.distinct)
 
     def union(self, other: Node) -> Node:
