@@ -9,12 +9,13 @@ estimate could belong to a link are confirmed on full sets.
 No bucket is expanded into all pairs. Each bucket's members are first paired with the
 member that shares most buckets with others; links found so are closed into components;
 then only buckets that still span several components pair their outsiders with the
-members of other components, the estimate being part of the join condition. So a group of
-thousands of near copies costs one comparison a member, and no pair of a common bucket
-that the estimate admits goes unchecked unless the pair is connected already.
+members of other components. An estimate from ``FINE_HASHES`` one-bit minima is part of
+that join's condition, so the pairs it rules out are never rows. So a group of thousands
+of near copies costs one comparison a member, and no pair of a common bucket that the
+estimates admit goes unchecked unless the pair is connected already.
 
 A pair of similarity 0.75 shares no band with probability 5e-6 at most, and is estimated
-below ``LEAST_ESTIMATE`` with about the same.
+below ``LEAST_ESTIMATE`` (``LEAST_FINE_ESTIMATE``) with about the same.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with
 nothing; with one to four words the whole sequence is the shingle; rows that repeat an id
@@ -49,9 +50,14 @@ SIG = [f"s{i}" for i in range(HASHES * BITS // 64)]
 LEAST_ESTIMATE = 0.57
 _CHUNK = 1 << 20
 
+#: One-bit minima that tell apart the members of buckets still open, and the least estimate by them.
+FINE_HASHES = 4096
+FINE = [f"f{i}" for i in range(FINE_HASHES // 64)]
+LEAST_FINE_ESTIMATE = 0.703
+
 _rng = np.random.default_rng(7)
-_MULTIPLIERS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADDENDS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_MULTIPLIERS = _rng.integers(0, 1 << 63, HASHES + FINE_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADDENDS = _rng.integers(0, 1 << 63, HASHES + FINE_HASHES, dtype=np.uint64)
 
 
 def shingle_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +133,29 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_arrow(keyed, run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, c bigint, {longs}, bands array<bigint>")
 
 
+def fine_signatures(texts: DataFrame) -> DataFrame:
+    """``c`` and packed one-bit minima for the texts of some classes."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = utf8_parts(batch.column("text"))
+        out = np.zeros((len(FINE), batch.num_rows), np.uint64)
+        for a, b in row_slices(offsets, _CHUNK):
+            hashes, at = shingle_rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            full = np.flatnonzero(np.diff(at))
+            for j in range(FINE_HASHES if len(full) else 0):
+                least = np.minimum.reduceat(hashes * _MULTIPLIERS[HASHES + j] + _ADDENDS[HASHES + j], at[full])
+                out[j // 64, a + full] |= (least >> np.uint64(20) & np.uint64(1)) << np.uint64(j % 64)
+        return pa.RecordBatch.from_pydict({"c": batch.column("c")} | {f: pa.array(out[i].view(np.int64)) for i, f in enumerate(FINE)})
+
+    return map_arrow(texts.select("c", "text"), run, "c bigint, " + ", ".join(f"{f} bigint" for f in FINE))
+
+
+def fine_estimate(a: str, b: str) -> Column:
+    """Similarity from one-bit minima: twice the share of equal bits, less one."""
+    differing = functools.reduce(Column.__add__, (F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in FINE))
+    return 1 - differing * (2 / FINE_HASHES)
+
+
 def estimate(a: str, b: str) -> Column:
     """Similarity from the packed low bits of two sides, corrected for chance collisions."""
     lanes = sum(1 << BITS * k for k in range(64 // BITS))
@@ -212,13 +241,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = buckets.join(roots.withColumnRenamed("u", "c"), "c", "left").select("band", "c", F.coalesce("root", "c").alias("root"))
     spread = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where(F.col("r0") != F.col("r1")).select("band")
     main = centres.join(spread, "band").join(roots.withColumnRenamed("u", "centre"), "centre", "left").select("band", F.coalesce("root", "centre").alias("main"))
-    open_ = materialize(placed.join(main, "band").join(facts, "c"), "minhash-open")
-    inside, outside = open_.alias("a"), open_.where(F.col("root") != F.col("main")).alias("b")
+    open_ = materialize(placed.join(main, "band"), "minhash-open")
+    fine = fine_signatures(texts.join(open_.select("c").distinct(), "c"))
+    fine = materialize(fine.join(reps.select("c", "n_shingles", "bands"), "c"), "minhash-fine")
+    members = open_.join(fine, "c")
+    inside, outside = members.alias("a"), members.where(F.col("root") != F.col("main")).alias("b")
+    # a pair comes from one bucket only, the common one of the least key
+    once = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.band")
     crossing = (
         outside.join(inside, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") != F.col("b.root"))
-                     & ((F.col("a.root") == F.col("a.main")) | (F.col("a.c") < F.col("b.c"))) & sizes_allow("a", "b") & (estimate("a", "b") >= LEAST_ESTIMATE))
+                     & ((F.col("a.root") == F.col("a.main")) | (F.col("a.c") < F.col("b.c"))) & sizes_allow("a", "b")
+                     & (fine_estimate("a", "b") >= LEAST_FINE_ESTIMATE) & once)
         .select(F.col("a.c").alias("u"), F.col("b.c").alias("v"))
-        .distinct()
         .join(likely, ["u", "v"], "left_anti")
     )
     more = materialize(confirm(materialize(crossing, "minhash-crossing"), texts), "minhash-links")
