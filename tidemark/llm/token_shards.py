@@ -67,10 +67,10 @@ class WordBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.memory = UnitMemory(self._encode)
+        self.memory = UnitMemory(self._encode, 600_000)
 
     def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        rows = [e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
+        rows = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
         lengths = np.array([len(r) for r in rows], np.int64)
         return np.array([i for r in rows for i in r], np.int64), lengths
 
