@@ -24,6 +24,7 @@ from tidemark.recursion.rdfs import Vocabulary, closure
 from tidemark.session import fresh_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Edges = Callable[[SparkSession, str], DataFrame]
 ORACLE_SQL: dict[str, str] = {}
 
 
@@ -315,22 +316,32 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 300).alias("src"), ((F.col("l_partkey") * 13 + F.col("l_suppkey")) % 300).alias("dst")).distinct()
 
 
+#: Edges of every line item, between ids that are not folded.
+_WHOLE_EDGES = "SELECT DISTINCT l_orderkey*7 + l_linenumber AS src, l_partkey*13 + l_suppkey AS dst FROM lineitem"
+
+
+def _whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "lineitem")
+    return items.select((F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("src"), (F.col("l_partkey") * 13 + F.col("l_suppkey")).alias("dst")).distinct()
+
+
 def _tc(where: str = "") -> str:
     return f"WITH RECURSIVE e AS ({_EDGES}), f AS (SELECT * FROM e {where}), r(src, dst) AS (SELECT src, dst FROM f UNION SELECT r.src, f.dst FROM r JOIN f ON r.dst = f.src)"
 
 
 @query("g_reach", f"{_tc()} SELECT src, dst FROM r")
-def g_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reach(_edges(spark, sf_dir))[0]
+def g_reach(spark: SparkSession, sf_dir: str, edges: Edges = _edges) -> DataFrame:
+    return reach(edges(spark, sf_dir))[0]
 
 
 @query("g_reach_hops", f"{_tc('WHERE src < 150')} SELECT src, dst FROM r")
-def g_reach_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reach(_edges(spark, sf_dir).where("src < 150"), hop_by_hop=True)[0]
+def g_reach_hops(spark: SparkSession, sf_dir: str, edges: Edges = _edges) -> DataFrame:
+    found = edges(spark, sf_dir)
+    return reach(found.where("src < 150") if edges is _edges else found, hop_by_hop=True)[0]
 
 
-def _stepwise(spark: SparkSession, sf_dir: str, deletes: bool) -> DataFrame:
-    e = z.weighted(_edges(spark, sf_dir))
+def _stepwise(spark: SparkSession, sf_dir: str, deletes: bool, edges: Edges) -> DataFrame:
+    e = z.weighted(edges(spark, sf_dir))
     state = Reachability(e)
     out = [state.push(e.where("src % 5 <> 0")), state.push(e.where("src % 5 = 0"))]
     if deletes:
@@ -339,13 +350,13 @@ def _stepwise(spark: SparkSession, sf_dir: str, deletes: bool) -> DataFrame:
 
 
 @query("g_reach_incremental", f"{_tc()} SELECT src, dst, CAST(1 AS BIGINT) AS w FROM r")
-def g_reach_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stepwise(spark, sf_dir, False)
+def g_reach_incremental(spark: SparkSession, sf_dir: str, edges: Edges = _edges) -> DataFrame:
+    return _stepwise(spark, sf_dir, False, edges)
 
 
 @query("g_reach_delete", f"{_tc('WHERE dst % 5 <> 0')} SELECT src, dst, CAST(1 AS BIGINT) AS w FROM r")
-def g_reach_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stepwise(spark, sf_dir, True)
+def g_reach_delete(spark: SparkSession, sf_dir: str, edges: Edges = _edges) -> DataFrame:
+    return _stepwise(spark, sf_dir, True, edges)
 
 
 # -- Datalog ----------------------------------------------------------------------------
@@ -354,10 +365,10 @@ TC = [(("tc", ("?X", "?Y")), ("e", ("?X", "?Y"))), (("tc", ("?X", "?Z")), ("tc",
 NODES = [(("node", ("?X",)), ("e", ("?X", "?Y"))), (("node", ("?Y",)), ("e", ("?X", "?Y")))]
 
 
-def _session(spark: SparkSession, sf_dir: str, rules: list[tuple], where: str = "true") -> Datalog:
+def _session(spark: SparkSession, sf_dir: str, rules: list[tuple], where: str = "true", edges: Edges = _edges) -> Datalog:
     program = Datalog(spark, typed=True)
     program.push_rules(rules)
-    program.push_facts({"e": _edges(spark, sf_dir).where(where).select(F.col("src").alias("c0"), F.col("dst").alias("c1"))})
+    program.push_facts({"e": edges(spark, sf_dir).where(where).select(F.col("src").alias("c0"), F.col("dst").alias("c1"))})
     return program
 
 
@@ -368,37 +379,37 @@ def _facts(program: Datalog, predicate: str, *names: str) -> DataFrame:
 
 
 @query("d_tc", f"{_tc()} SELECT src, dst FROM r")
-def d_tc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(_session(spark, sf_dir, TC), "tc", "src", "dst")
+def d_tc(spark: SparkSession, sf_dir: str, edges: Edges = _edges) -> DataFrame:
+    return _facts(_session(spark, sf_dir, TC, edges=edges), "tc", "src", "dst")
 
 
 @query("d_union_heads", f"WITH e AS ({_EDGES}) SELECT src AS x FROM e UNION SELECT dst FROM e")
-def d_union_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(_session(spark, sf_dir, NODES), "node", "x")
+def d_union_heads(spark: SparkSession, sf_dir: str, edges: Edges = _edges) -> DataFrame:
+    return _facts(_session(spark, sf_dir, NODES, edges=edges), "node", "x")
 
 
 @query("d_const_filter", f"WITH e AS ({_EDGES}) SELECT DISTINCT src AS x FROM e WHERE dst = (7 * 13 + 1) % 300 UNION SELECT 7")
-def d_const_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    program = _session(spark, sf_dir, [(("to", ("?X",)), ("e", ("?X", 92)))])
+def d_const_filter(spark: SparkSession, sf_dir: str, edges: Edges = _edges) -> DataFrame:
+    program = _session(spark, sf_dir, [(("to", ("?X",)), ("e", ("?X", 92)))], edges=edges)
     program.push_facts({"to": spark.createDataFrame([(7,)], "c0 long")})
     return _facts(program, "to", "x")
 
 
 @query("d_unify", f"WITH e AS ({_EDGES}) SELECT a.src AS x, a.dst AS y FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src UNION SELECT src, dst FROM e WHERE src = dst")
-def d_unify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(_session(spark, sf_dir, [(("m", ("?X", "?Y")), ("e", ("?X", "?Y")), ("e", ("?Y", "?X"))), (("m", ("?X", "?X")), ("e", ("?X", "?X")))]), "m", "x", "y")
+def d_unify(spark: SparkSession, sf_dir: str, edges: Edges = _edges) -> DataFrame:
+    return _facts(_session(spark, sf_dir, [(("m", ("?X", "?Y")), ("e", ("?X", "?Y")), ("e", ("?Y", "?X"))), (("m", ("?X", "?X")), ("e", ("?X", "?X")))], edges=edges), "m", "x", "y")
 
 
 @query("d_negation", f"WITH e AS ({_EDGES}) SELECT DISTINCT dst AS x FROM e WHERE dst NOT IN (SELECT src FROM e)")
-def d_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(_session(spark, sf_dir, [*NODES, (("sink", ("?X",)), ("!e", ("?X", "?Y")), ("node", ("?X",)))]), "sink", "x")
+def d_negation(spark: SparkSession, sf_dir: str, edges: Edges = _edges) -> DataFrame:
+    return _facts(_session(spark, sf_dir, [*NODES, (("sink", ("?X",)), ("!e", ("?X", "?Y")), ("node", ("?X",)))], edges=edges), "sink", "x")
 
 
 @query("d_two_strata", f"""WITH e AS ({_EDGES}), s AS (SELECT DISTINCT dst AS x FROM e WHERE dst NOT IN (SELECT src FROM e)),
 b AS (SELECT DISTINCT src AS x FROM e WHERE dst IN (SELECT x FROM s)) SELECT DISTINCT src AS x FROM e WHERE src NOT IN (SELECT x FROM b)""")
-def d_two_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+def d_two_strata(spark: SparkSession, sf_dir: str, edges: Edges = _edges) -> DataFrame:
     rules = [*NODES, (("sink", ("?X",)), ("node", ("?X",)), ("!e", ("?X", "?Y"))), (("before", ("?X",)), ("e", ("?X", "?Y")), ("sink", ("?Y",))), (("far", ("?X",)), ("e", ("?X", "?Y")), ("!before", ("?X",)))]
-    return _facts(_session(spark, sf_dir, rules), "far", "x")
+    return _facts(_session(spark, sf_dir, rules, edges=edges), "far", "x")
 
 
 @query("d_transitive_complement", f"{_tc('WHERE src < 60 AND dst < 120')}, n AS (SELECT src AS x FROM f UNION SELECT dst FROM f) SELECT a.x, b.x AS y FROM n a CROSS JOIN n b WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.src = a.x AND r.dst = b.x)")
@@ -409,37 +420,42 @@ def d_transitive_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d_four_cycle", f"""WITH e AS ({_EDGES}) SELECT DISTINCT a.src AS w, b.src AS x, c.src AS y, d.src AS z FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src JOIN e d ON c.dst = d.src AND d.dst = a.src
 WHERE NOT EXISTS (SELECT 1 FROM e g WHERE g.src = c.src AND g.dst = a.src)""")
-def d_four_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+def d_four_cycle(spark: SparkSession, sf_dir: str, edges: Edges = _edges) -> DataFrame:
     rule = (("cycle", ("?W", "?X", "?Y", "?Z")), ("e", ("?W", "?X")), ("e", ("?X", "?Y")), ("!e", ("?Y", "?W")), ("e", ("?Y", "?Z")), ("e", ("?Z", "?W")))
-    return _facts(_session(spark, sf_dir, [rule]), "cycle", "w", "x", "y", "z")
+    return _facts(_session(spark, sf_dir, [rule], edges=edges), "cycle", "w", "x", "y", "z")
 
 
 @query("d_rule_retract", f"WITH e AS ({_EDGES}) SELECT src AS x, dst AS y FROM e")
-def d_rule_retract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    program = _session(spark, sf_dir, TC)
+def d_rule_retract(spark: SparkSession, sf_dir: str, edges: Edges = _edges) -> DataFrame:
+    program = _session(spark, sf_dir, TC, edges=edges)
     program.saturate()
     program.push_rules({TC[1]: -1})
     return _facts(program, "tc", "x", "y")
 
 
 @query("d_fact_retract", f"{_tc('WHERE dst % 5 <> 0')} SELECT src AS x, dst AS y FROM r")
-def d_fact_retract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    program = _session(spark, sf_dir, TC)
+def d_fact_retract(spark: SparkSession, sf_dir: str, edges: Edges = _edges) -> DataFrame:
+    program = _session(spark, sf_dir, TC, edges=edges)
     program.saturate()
-    gone = _edges(spark, sf_dir).where("dst % 5 = 0").select(F.col("src").alias("c0"), F.col("dst").alias("c1"))
+    gone = edges(spark, sf_dir).where("dst % 5 = 0").select(F.col("src").alias("c0"), F.col("dst").alias("c1"))
     program.push_facts({"e": z.weighted(gone, -1)})
     return _facts(program, "tc", "x", "y")
 
 
 @query("d_late_blocker", f"WITH e AS ({_EDGES}) SELECT src AS x FROM e UNION SELECT dst FROM e EXCEPT SELECT src FROM e WHERE src % 2 = 0")
-def d_late_blocker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    program = _session(spark, sf_dir, [*NODES, (("open", ("?X",)), ("node", ("?X",)), ("!blocked", ("?X",)))])
+def d_late_blocker(spark: SparkSession, sf_dir: str, edges: Edges = _edges) -> DataFrame:
+    program = _session(spark, sf_dir, [*NODES, (("open", ("?X",)), ("node", ("?X",)), ("!blocked", ("?X",)))], edges=edges)
     program.saturate()
-    blocked = _edges(spark, sf_dir).where("src % 2 = 0").select(F.col("src").alias("c0")).distinct()
+    blocked = edges(spark, sf_dir).where("src % 2 = 0").select(F.col("src").alias("c0")).distinct()
     program.push_facts({"blocked": blocked})
     return _facts(program, "open", "x")
 
 
+#: The same over every line item. d_transitive_complement is not among them: its rows are the square of the nodes.
+for _fn in (g_reach, g_reach_hops, g_reach_incremental, g_reach_delete, d_tc, d_union_heads, d_const_filter, d_unify, d_negation, d_two_strata, d_four_cycle, d_rule_retract, d_fact_retract, d_late_blocker):
+    query(f"{_fn.__name__}_whole", ORACLE_SQL[_fn.__name__].replace(_EDGES, _WHOLE_EDGES).replace("WHERE src < 150", ""))(lambda spark, sf_dir, fn=_fn: fn(spark, sf_dir, _whole_edges))
+
+
 @query("d_levels", "SELECT * FROM (VALUES ('e', 0), ('node', 0), ('tc', 0), ('not_tc', 1), ('lonely', 2)) t(predicate, level)")
 def d_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [*TC, *NODES, (("not_tc", ("?X", "?Y")), ("node", ("?X",)), ("node", ("?Y",)), ("!tc", ("?X", "?Y"))), (("lonely", ("?X",)), ("node", ("?X",)), ("!not_tc", ("?X", "?X")))]
