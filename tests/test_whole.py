@@ -16,3 +16,8 @@ def test_whole_query_reads_every_key(spark, sf_dir, name):
 def test_whole_edges(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     assert catalog.QUERIES["d_rule_retract_whole"](spark, sf_dir).count() == items.selectExpr("l_orderkey*7+l_linenumber", "l_partkey*13+l_suppkey").distinct().count()
+
+
+def test_whole_set_operands(spark, sf_dir):
+    left = sum(spark.read.parquet(f"{sf_dir}/{t}.parquet").where(f"{k} % 10 <> 0").count() for t, k in (("customer", "c_custkey"), ("supplier", "s_suppkey")))
+    assert sum(r.w for r in catalog.QUERIES["z_union_all_whole"](spark, sf_dir).collect()) == left

@@ -97,15 +97,18 @@ def z_flatmap_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- set operations ---------------------------------------------------------------------
 
 
-def _nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    a = _table(spark, sf_dir, "customer").where("c_custkey <= 40").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
-    b = _table(spark, sf_dir, "supplier").where("s_suppkey <= 20").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+def _nations(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    a = _table(spark, sf_dir, "customer").where("true" if whole else "c_custkey <= 40").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    b = _table(spark, sf_dir, "supplier").where("true" if whole else "s_suppkey <= 20").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
     return tuple(z.consolidate(_changes(x, "k").select("n", W)) for x in (a, b))
 
 
 _NATIONS_SQL = """WITH a AS (SELECT c_nationkey AS n FROM customer WHERE c_custkey <= 40 AND c_custkey % 10 <> 0),
 b AS (SELECT s_nationkey AS n FROM supplier WHERE s_suppkey <= 20 AND s_suppkey % 10 <> 0)
 """
+_WHOLE_NATIONS_SQL = """WITH a AS (SELECT c_nationkey AS n FROM customer WHERE c_custkey % 10 <> 0),
+b AS (SELECT s_nationkey AS n FROM supplier WHERE s_suppkey % 10 <> 0)
+"""
 _SETS = {
     "z_union_all": (z.union_all, "SELECT n, count(*) AS w FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY n"),
     "z_union": (z.union, "SELECT n, CAST(1 AS BIGINT) AS w FROM (SELECT * FROM a UNION SELECT * FROM b)"),
@@ -118,6 +121,7 @@ _SETS = {
 }
 for _name, (_op, _sql) in _SETS.items():
     query(_name, _NATIONS_SQL + _sql)(lambda spark, sf_dir, op=_op: _shown(op(*_nations(spark, sf_dir))))
+    query(f"{_name}_whole", _WHOLE_NATIONS_SQL + _sql)(lambda spark, sf_dir, op=_op: _shown(op(*_nations(spark, sf_dir, whole=True))))
 
 
 # -- joins ------------------------------------------------------------------------------
@@ -158,13 +162,16 @@ def z_join_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("z_semi_anti", """SELECT n_name, 'with' AS side, CAST(1 AS BIGINT) AS w FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 20)
 UNION ALL SELECT n_name, 'without', 1 FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 20)""")
-def z_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+def z_semi_anti(spark: SparkSession, sf_dir: str, suppliers: str = "s_suppkey <= 20") -> DataFrame:
     nations = z.weighted(_table(spark, sf_dir, "nation").select("n_name", "n_nationkey"))
-    keys = _table(spark, sf_dir, "supplier").where("s_suppkey <= 20").select(F.col("s_nationkey").alias("n_nationkey"))
+    keys = _table(spark, sf_dir, "supplier").where(suppliers).select(F.col("s_nationkey").alias("n_nationkey"))
     sides = [z.semi(nations, keys, ["n_nationkey"], how).select("n_name", F.lit(side).alias("side"), W) for how, side in (("left_semi", "with"), ("left_anti", "without"))]
     return _shown(z.plus(*sides))
 
 
+query("z_semi_anti_whole", ORACLE_SQL["z_semi_anti"].replace(" WHERE s_suppkey <= 20", ""))(lambda spark, sf_dir: z_semi_anti(spark, sf_dir, "true"))
+
+
 # -- distinct, aggregates ---------------------------------------------------------------
 
 
