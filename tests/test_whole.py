@@ -21,3 +21,9 @@ def test_whole_edges(spark, sf_dir):
 def test_whole_set_operands(spark, sf_dir):
     left = sum(spark.read.parquet(f"{sf_dir}/{t}.parquet").where(f"{k} % 10 <> 0").count() for t, k in (("customer", "c_custkey"), ("supplier", "s_suppkey")))
     assert sum(r.w for r in catalog.QUERIES["z_union_all_whole"](spark, sf_dir).collect()) == left
+
+
+def test_whole_abox(spark, sf_dir):
+    found = catalog.QUERIES["rdfs_closure_whole"](spark, sf_dir)
+    assert found.where("p = 'buys'").count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert found.where("p = 'type' AND s LIKE 'c%'").select("s").distinct().count() == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
