@@ -148,3 +148,15 @@ def test_language(spark, sf_dir):
     assert [(r.lang_pred, r.score) for r in language.predict(odd, model).collect()] == [("und", 0.0)] * 3
     none = language.train(docs.limit(0))
     assert {r.lang_pred for r in language.predict(docs.limit(5), none).collect()} == {"und"}
+
+
+def test_pages_whose_head_or_form_spans_the_page():
+    body = "<article><h1>Head</h1><p>One long enough line of the text.</p><p>Short.</p></article>"
+    want = ["Head", "One long enough line of the text.", "Short."]
+    for start in ("<head><title>x</title><body>", "<head><title>x</title>", "<head><meta charset=a><script>y</script><body><nav>Home</nav>"):
+        assert html_text.main_blocks(f"<html>{start}{body}") == want
+    assert html_text.main_blocks("<head><title>x</title>plain text") == ["plain text"]
+    assert html_text.main_blocks("<head><title>x</title><a>linked</a> text") == ["linked text"]
+    assert html_text.main_blocks(f"<body><form><nav>Home</nav>{body}<button>Go</button></form></body>") == want
+    assert html_text.main_blocks("<body><form><div><p>All of the text is here.<p>And here.</div></form></body>") == ["All of the text is here.", "And here."]
+    assert html_text.main_blocks("<body><div><p>All of the text is here, and it is long.</div><form>Mail</form></body>") == ["All of the text is here, and it is long."]

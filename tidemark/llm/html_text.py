@@ -4,12 +4,13 @@ The standard library's parser streams events; block elements make the lines of a
 Each line's ratio of characters to tags is smoothed with a Gaussian over its neighbours,
 and two-means clustering of the logarithms gives the threshold above which a line belongs
 to a dense region. Lines in elements that hold no article text by their kind (menus, forms,
-scripts ...), role or naming have ratio 0. The content region is then the article (or main)
+scripts ...), role or naming have ratio 0; a form
+that holds an article, a main element or nearly all text of its page is no such element. The content region is then the article (or main)
 element with most dense text, else the smallest element that holds nearly all of it; all
 lines of that region that are not boilerplate are kept, so short paragraphs stay.
 
 Defined results: null and empty pages have an empty text; markup that never closes is read
-to its end; a page with text outside any element is one region; pages that repeat an id are
+to its end, and a head ends where content begins; a page with text outside any element is one region; pages that repeat an id are
 rows of their own; an empty table gives an empty table; other columns are carried along and
 one named like an added one is replaced.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import map_arrow, table
 
 SIGMA = 1.0
-#: Share of the dense text that a region without an article element must hold.
+#: Share of the dense text that a region without an article element must hold, and of a page's text that a form must.
 SHARE = 0.9
 
 _BLOCKS = frozenset(
@@ -36,9 +37,11 @@ _BLOCKS = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NEVER = frozenset(
-    "applet aside audio button canvas datalist dialog embed footer form head iframe input menu nav noscript object option script select style "
+    "applet aside audio button canvas datalist dialog embed footer head iframe input menu nav noscript object option script select style "
     "svg template textarea title video".split()
 )
+#: What may stand in a head; any other element or text ends it.
+_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Words of class, id or role that mark an element as boilerplate.
 _NAMES = frozenset(
@@ -91,7 +94,18 @@ class Lines(HTMLParser):
     def _close(self, element: _Element) -> None:
         self.at = element.parent
 
+    def _end_head(self) -> None:
+        for e in self.at.up():
+            if e.tag == "head":
+                self._flush()
+                self._close(e)
+                return
+            if e.tag in ("body", "template"):
+                return
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in _HEAD:
+            self._end_head()
         self._tags += 1
         if tag in _BLOCKS:
             self._flush()
@@ -155,12 +169,39 @@ class Lines(HTMLParser):
             self._flush()
 
     def handle_data(self, data: str) -> None:
+        if self.at.tag == "head" and data.strip():
+            self._end_head()
         if not self.at.silent:
             self._text.append(data)
 
     def close(self) -> None:
         super().close()
         self._flush()
+        self._drop_forms()
+
+    def _drop_forms(self) -> None:
+        """Lines of forms are dropped, but for forms that are the page's frame."""
+        held: dict[_Element, int] = {}
+        kept: set[_Element] = set()
+        whole = inside = 0
+        for text, _, block, dropped in self.lines:
+            if dropped:
+                continue
+            whole += len(text)
+            content = False
+            around = []
+            for e in block.up():
+                content = content or e.tag in ("article", "main")
+                if e.tag == "form":
+                    around.append(e)
+                    held[e] = held.get(e, 0) + len(text)
+                    if content:
+                        kept.add(e)
+            inside += len(text) * bool(around)
+        kept |= {e for e, n in held.items() if n >= SHARE * whole}
+        if not held or not kept and inside >= SHARE * whole:
+            return
+        self.lines = [(text, tags, block, dropped or any(e.tag == "form" and e not in kept for e in block.up())) for text, tags, block, dropped in self.lines]
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
