@@ -160,3 +160,11 @@ def test_pages_whose_head_or_form_spans_the_page():
     assert html_text.main_blocks(f"<body><form><nav>Home</nav>{body}<button>Go</button></form></body>") == want
     assert html_text.main_blocks("<body><form><div><p>All of the text is here.<p>And here.</div></form></body>") == ["All of the text is here.", "And here."]
     assert html_text.main_blocks("<body><div><p>All of the text is here, and it is long.</div><form>Mail</form></body>") == ["All of the text is here, and it is long."]
+
+
+def test_pages_of_several_regions():
+    long = [f"Part {k} is a line of text that is long enough to be dense, and goes on and on. " * (20 if k == 0 else 2) for k in range(3)]
+    want = [t.strip() for t in long]
+    assert html_text.main_blocks("<body>" + "".join(f"<div><p>{t}</p></div>" for t in long) + "</body>") == want
+    assert html_text.main_blocks("<body>" + "".join(f"<article><p>{t}</p></article>" for t in long) + "<div>Else</div></body>") == want
+    assert html_text.main_blocks(f"<main><p>{long[1]}</p><article><p>{long[0]}</p></article><p>{long[2]}</p></main>") == [want[1], want[0], want[2]]

@@ -4,14 +4,14 @@ The standard library's parser streams events; block elements make the lines of a
 Each line's ratio of characters to tags is smoothed with a Gaussian over its neighbours,
 and two-means clustering of the logarithms gives the threshold above which a line belongs
 to a dense region. Lines in elements that hold no article text by their kind (menus, forms,
-scripts ...), role or naming have ratio 0; a form
-that holds an article, a main element or nearly all text of its page is no such element. The content region is then the article (or main)
-element with most dense text, else the smallest element that holds nearly all of it; all
-lines of that region that are not boilerplate are kept, so short paragraphs stay.
+scripts ...), role or naming have ratio 0; a form that holds an article, a main element or nearly
+all text of its page is no such element. The content regions are then all article and main
+elements if one has dense text, else the smallest element that holds all of it; all lines
+of these regions that are not boilerplate are kept, so short paragraphs stay.
 
 Defined results: null and empty pages have an empty text; markup that never closes is read
-to its end, and a head ends where content begins; a page with text outside any element is one region; pages that repeat an id are
-rows of their own; an empty table gives an empty table; other columns are carried along and
+to its end, and a head ends where content begins; a page with text outside any element is
+one region; pages that repeat an id are rows of their own; an empty table gives an empty table; other columns are carried along and
 one named like an added one is replaced.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import map_arrow, table
 
 SIGMA = 1.0
-#: Share of the dense text that a region without an article element must hold, and of a page's text that a form must.
+#: Share of a page's text that a form must hold to stay.
 SHARE = 0.9
 
 _BLOCKS = frozenset(
@@ -247,20 +247,15 @@ def main_blocks(html: str | None) -> list[str]:
     levels = [math.log1p(r) for r in smoothed(ratios)]
     cut = threshold([levels[i] for i in kept])
     dense = [i for i in kept if levels[i] >= cut]
-    weight: dict[_Element, int] = {}
+    held: dict[_Element, int] = {}
     for i in dense:
         for e in lines[i][2].up():
-            weight[e] = weight.get(e, 0) + len(lines[i][0])
-    for tag in ("article", "main"):
-        regions = [e for e in weight if e.tag == tag]
-        if regions:
-            region = max(regions, key=lambda e: (weight[e], e.depth))
-            break
-    else:
-        whole = sum(len(lines[i][0]) for i in dense)
-        region = max((e for e in weight if weight[e] >= SHARE * whole), key=lambda e: e.depth)
-        while region.tag in ("p", "td", "tr", "tbody", "li", *_HEADINGS) and region.parent is not None:
-            region = region.parent  # a lone dense line: its neighbours belong to the text as well
+            held[e] = held.get(e, 0) + 1
+    if any(e.tag in ("article", "main") for e in held):
+        return [lines[i][0] for i in kept if any(e.tag in ("article", "main") for e in lines[i][2].up())]
+    region = max((e for e, n in held.items() if n == len(dense)), key=lambda e: e.depth)
+    while region.tag in ("p", "td", "tr", "tbody", "li", *_HEADINGS) and region.parent is not None:
+        region = region.parent  # a lone dense line: its neighbours belong to the text as well
     return [lines[i][0] for i in kept if region in lines[i][2].up()]
 
 
