@@ -168,3 +168,13 @@ def test_pages_of_several_regions():
     assert html_text.main_blocks("<body>" + "".join(f"<div><p>{t}</p></div>" for t in long) + "</body>") == want
     assert html_text.main_blocks("<body>" + "".join(f"<article><p>{t}</p></article>" for t in long) + "<div>Else</div></body>") == want
     assert html_text.main_blocks(f"<main><p>{long[1]}</p><article><p>{long[0]}</p></article><p>{long[2]}</p></main>") == [want[1], want[0], want[2]]
+
+
+def test_no_language_is_lost_to_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_CHARS", 800)
+    values = [(k, "long " * 100, "a") for k in range(20)] + [(100 + k, f"text {k}", "a") for k in range(20)] + [(200, "b" * 700, "b"), (201, "b" * 600, "b")]
+    sample = language.training_sample(spark.createDataFrame(values, "doc_id long, text string, lang string"))
+    assert sorted(zip(*sample, strict=True)) == sorted([(t, lang) for _, t, lang in values if len(t) < 100] + [("b" * 600, "b")])
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        language.train(spark.createDataFrame(values, "doc_id long, text string, lang string"))

@@ -9,8 +9,8 @@ in that space. Scoring multiplies a batch's presence matrix with the landmarks'
 result with the weights.
 
 The model is fitted on a bounded sample: the ``PER_LANGUAGE`` labelled training rows of
-each language that come first by a hash of their ids; ``MAX_LANGUAGES`` bounds the
-languages, so sample and model have a fixed size whatever the corpus. Every text is scored
+each language that come first by a hash of their ids; more than ``MAX_LANGUAGES``
+languages are an error, so sample and model have a fixed size whatever the corpus. Every text is scored
 whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without a
@@ -37,7 +37,8 @@ SLOTS = 4096
 LANDMARKS = 160
 PER_LANGUAGE = 400
 MAX_LANGUAGES = 200
-#: Characters of sample text that the driver holds at most, shared evenly by the languages (whole texts only).
+#: Characters of sample text that the driver holds at most, shared evenly by the languages (whole texts only;
+#: a language without a text that fits takes its shortest sampled one).
 SAMPLE_CHARS = 16_000_000
 RIDGE = 1e-2
 UNKNOWN = "und"
@@ -138,16 +139,24 @@ def training_sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tu
     """Texts and languages of the sample; only its ids are ranked, its texts are fetched after."""
     order = Window.partitionBy("lang").orderBy("draw", "doc_id")
     ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("draw"))
-    common = [r.lang for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    chosen = ids.where(F.col("lang").isin(common)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
+    found = ids.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if found > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    chosen = ids.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
     # at most MAX_LANGUAGES * PER_LANGUAGE ids: a proven bound for this broadcast
     picked = labelled.join(F.broadcast(chosen.select("doc_id", "lang", "draw", "nth")), ["doc_id", "lang"])
-    held, texts, languages = {}, [], []
+    held, shortest, texts, languages = {}, {}, [], []
     for row in picked.select("lang", "text", "nth", "doc_id").orderBy("lang", "nth", "doc_id").toLocalIterator():
-        held[row.lang] = held.get(row.lang, 0) + len(row.text)
-        if held[row.lang] <= SAMPLE_CHARS // len(common):
+        size = held.get(row.lang, 0) + len(row.text)
+        if size <= SAMPLE_CHARS // found:
+            held[row.lang] = size
             texts.append(row.text)
             languages.append(row.lang)
+        elif row.lang not in shortest or len(row.text) < len(shortest[row.lang]):
+            shortest[row.lang] = row.text
+    for lang in sorted(shortest.keys() - held.keys()):
+        texts.append(shortest[lang])
+        languages.append(lang)
     return texts, languages
 
 
