@@ -178,3 +178,11 @@ def test_no_language_is_lost_to_long_texts(spark, monkeypatch):
     monkeypatch.setattr(language, "MAX_LANGUAGES", 1)
     with pytest.raises(ValueError, match="more than 1 languages"):
         language.train(spark.createDataFrame(values, "doc_id long, text string, lang string"))
+
+
+def test_added_tokens_are_matched_by_case():
+    bpe = token_shards.WordBpe(token_shards.vocabulary_path())
+    values = ["a <|ENDOFTEXT|> b", "a <|endoftext|> b", "X<|StartOfText|>Y, Z.", "<|startoftext|>A. B", "Plain Text, here.", "é <|ENDOFTEXT|>"]
+    ids, offsets = bpe.encode(values)
+    for t, a, b in zip(values, offsets[:-1], offsets[1:], strict=True):
+        assert ids[a:b].tolist() == [*bpe.tokenizer.encode(t, add_special_tokens=False).ids, token_shards.END_ID]

@@ -75,7 +75,7 @@ class WordBpe:
         return np.array([i for r in rows for i in r], np.int64), lengths
 
     def keys(self, text: str) -> list[str]:
-        if text.isascii():
+        if text.isascii() and "<|" not in text:  # added tokens are matched by case
             text = text.lower()
         return self._END.sub(" ", text.replace("\n", " ") + " ").split(" ")
 
