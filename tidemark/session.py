@@ -6,11 +6,13 @@ import os
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _LOCAL_FALLBACK: dict[str, str] = {}
+_TABLES: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -80,7 +82,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _TABLES[id(table)] = (weakref.ref(table), path)
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` made, once all that was planned on them is written."""
+    for table in tables:
+        held, path = _TABLES.pop(id(table), (None, None))
+        if held is not None and held() is table:
+            forget(table.sparkSession, path)
 
 
 def forget(spark: SparkSession, path: str) -> None:
