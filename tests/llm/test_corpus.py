@@ -106,37 +106,50 @@ def test_banded_distance(spark, edits):
             b[at : at + rng.randint(0, 1)] = [rng.choice("abé")] * rng.randint(0, 2)
             b = b or ["a"]
         values.append(("".join(a), "".join(b)))
-    got = spark.createDataFrame(values, "a string, b string").select("a", "b", lines.within_edits(F.col("a"), F.col("b"), edits).alias("w")).collect()
+    got = spark.createDataFrame(values, "a string, b string").select("a", "b", lines.within_edits(F.split("a", ""), F.split("b", ""), edits).alias("w")).collect()
     assert all(r.w == (distance(r.a, r.b) <= edits) for r in got)
 
 
-def line_corpus():
-    rng = random.Random(9)
-    base = sentence(rng, 12)
-    out = [base]
-    for k in range(40):  # a large bucket: one word changed at the same place, and single edits
-        out.append(base[:30] + f"{k:02d}" + base[32:])
-    for k in range(0, 30, 3):
-        out.append(base[:k] + "#" + base[k:])
-        out.append(base[:k] + base[k + 1 :])
-    out += ["", "   ", "short", "Short", "tiny line", base.upper(), "  " + base + " "]
+def line_corpus(group=60):
+    """Near copies of a few lines, short lines, inserted and deleted words, blanks and repeats."""
+    rng, out = random.Random(9), []
+    for n in (12, 5, 30):
+        base = sentence(rng, n).split()
+        out.append(" ".join(base))
+        for k in range(group):  # large buckets: one word changed, at the same place or anywhere
+            w = list(base)
+            w[n // 2 if k % 2 else rng.randrange(n)] = f"other{k}"
+            out.append(" ".join(w))
+            if k % 3 == 0:
+                w[rng.randrange(n)] = f"more{k}"
+                out.append(" ".join(w))
+        for k in range(n):
+            out.append(" ".join(base[:k] + ["new"] + base[k:]))
+            out.append(" ".join(base[:k] + base[k + 1 :]))
+    base = out[0]
+    out += ["", "   ", "short", "Short", "tiny line", "a b c", "a b d", "a b c d", "a b x d", "x a b c", "b c d", base.upper(), "  " + base + " "]
     rng.shuffle(out)
-    return [(d, "\n".join(out[d * 7 : d * 7 + 7]), "s") for d in range((len(out) + 6) // 7)] + [(99, None, None), (98, "", "s"), (97, base + "\n" + base, "s")]
+    return [(d, "\n".join(out[d * 7 : d * 7 + 7]), "s") for d in range((len(out) + 6) // 7)] + [(9999, None, None), (9998, "", "s"), (9997, base + "\n" + base, "s")]
+
+
+def near(a, b):
+    a, b = a.split(), b.split()
+    return abs(len(a) - len(b)) <= 1 and max(len(a), len(b)) >= 4 and distance(a, b) <= 1
 
 
 def brute_lines(values):
     seen, first = [], {}
     occurrences = [(d, n, " ".join(x.lower().split())) for d, t, _ in sorted(values, key=lambda v: v[0]) if t is not None for n, x in enumerate(t.split("\n"))]
     gone = collections.defaultdict(list)
-    near = {}
+    found = {}
     for d, n, x in occurrences:
         if not x:
             continue
         if x not in first:
             first[x] = (d, n)
-            near[x] = len(x) >= 16 and any(len(y) >= 16 and abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1 for y in seen)
+            found[x] = any(near(x, y) for y in seen)
             seen.append(x)
-        if near[x] or first[x] != (d, n):
+        if found[x] or first[x] != (d, n):
             gone[d].append(n)
     return dict(gone)
 
@@ -146,7 +159,7 @@ def test_line_dedup(spark):
     want = brute_lines(values)
     got = {r.place: r.removed for r in lines.removed_lines(frame(spark, values)).collect()}
     assert got == want
-    clashing = frame(spark, values).withColumn("removed", F.lit(1)).withColumn("place", F.lit(2)).withColumn("text_hash", F.lit(3))
+    clashing = frame(spark, values).withColumn("removed", F.lit(1)).withColumn("place", F.lit(2)).withColumn("text_hash", F.lit(3)).withColumn("at.x", F.lit(4))
     assert lines.drop_lines(clashing).columns == clashing.columns
     kept = {r.doc_id: r.text for r in lines.drop_lines(clashing).collect()}
     for d, t, _ in values:
@@ -158,6 +171,24 @@ def test_line_dedup(spark):
     assert lines.removed_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_other_ids(spark):
+    docs = frame(spark, [(1, "x y z w\nother", "s"), (2, "x y z v\nother\nlast " + "long " * 30000, "s"), (None, "first of all lines\nlast " + "long " * 29999, "s")])
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert {r.place: r.removed for r in lines.removed_lines(named).collect()} == {"1d2": [0, 1, 2]}
+    assert sorted(r.text for r in lines.drop_lines(named.union(named)).collect()) == sorted(r.text for r in lines.drop_lines(named).collect() for _ in range(1, 3) if r.doc_id != "d2")
+
+
+def test_line_dedup_of_a_large_group(spark):
+    """5,000 near copies: the entries a line stay few, and the verdicts follow from the base line."""
+    rng = random.Random(3)
+    base = sentence(rng, 40).split()
+    values = [(0, " ".join(base), "s")] + [(k, " ".join(w if i != k % 40 else f"v{k}" for i, w in enumerate(base)), "s") for k in range(1, 5001)]
+    assert lines.removed_lines(frame(spark, values).repartition(4)).count() == 5000
+    first_last = [(d, t, s) for d, t, s in values if d] + [(9000, values[0][1], "s")]
+    got = {r.place for r in lines.removed_lines(frame(spark, first_last)).collect()}
+    assert got == set(range(41, 5001)) | {9000}
+
+
 def test_substring_dedup(spark):
     rng = random.Random(5)
     shared, other = sentence(rng, 60), sentence(rng, 36)

@@ -1,43 +1,56 @@
-"""Line dedup with DataFrame functions only: exact repeats and lines one edit apart.
+"""Line dedup with DataFrame functions only: equal lines, and lines one word apart.
 
 Lines are normalised (lower case, white space runs to one space, trimmed) and identified
 by two 64-bit hashes. Of equal lines the first occurrence stays, in order of document id
-and line number. A line of ``MIN_CHARS`` characters or more also goes if an earlier line
-of such length is within ``EDITS`` = 1 edit of it; whether that one stays does not matter.
-
-The edit join cuts a line into ``EDITS + 1`` = 2 segments. One edit leaves the first or the
-last ``cut(length)`` characters as they are, so lines meet on (context, cut, hash of that
-substring); a line also probes with the cut of lines one character shorter where it
-differs. Members of a small bucket are paired. The members of a large one agree outside a
-known stretch, and the same step is applied to that stretch, until buckets are small or
-the stretch is at most one character, where all members are one edit apart and each is
-paired with the earliest alone. So no bucket is expanded into all pairs, and none is
-capped. Pairs are verified by a banded bit-parallel edit distance on whole lines.
-
-Only lines that share a segment with another are fetched with their text.
+and line number. A line also goes if an earlier line is near it, whether that one stays or
+not. Lines are near if at most ``EDITS`` = 1 edits, which insert, delete or replace a word,
+lead from one to the other, and if that leaves ``PERCENT`` of the longer one's words: so
+"at most one word differs, in lines of four words or more". A changed name, date or number
+is one edit, whatever its length.
+
+The edit join cuts a line of n words into ``EDITS + 1`` segments that cover it, its first
+n // 2 words and the others. One edit leaves a segment as it is, so the shorter of two near
+lines shares one with the longer, at the same end. Every line is indexed under its own
+segments and probes with those of lines one word shorter; both are keys (context, end,
+words, hash). Members of a small bucket are paired. Members of a large one agree in the
+segment, and what is left of them is cut in the same way under that context, until buckets
+are small or at most one word is left: there all members are near each other, and each
+meets the earliest alone. So a bucket costs its members a constant number of comparisons
+and log2(n) levels, none is expanded into all pairs, and none is capped. That every level
+halves the rest is what one edit buys: with more edits, the rests of a large bucket
+overlap, and exact refinement is no longer linear, so ``EDITS`` is fixed.
+
+Pairs are verified on whole lines, by a banded bit-parallel edit distance over words,
+within the join, so that pairs that are not near are never rows. Only lines that share a
+segment with another are fetched with their text.
 
 Defined results: null texts have no line and nothing removed; blank lines always stay; a
-null id sorts first; rows that repeat an id share a place in the order and each keep their
-lines; an empty table gives an empty table; :func:`drop_lines` returns the columns it is
-given, and drops documents all of whose lines with a word were removed.
+null id sorts first; ids that are no integers sort as text; rows that repeat an id share a
+place in the order and each keep their lines; an empty table gives an empty table;
+:func:`drop_lines` returns the columns it is given, and drops documents all of whose lines
+with a word were removed. Columns of the input may have any name not starting ``_line_``.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import table
-from tidemark.session import materialize
+from tidemark.session import discard, materialize
 
 EDITS = 1
-MIN_CHARS = 16
+PERCENT = 75
 #: Members up to which a bucket's members are paired with each other.
-SMALL = 8
+SMALL = 16
 _SPACES = r"[\x20\x09-\x0D]+"
 _FIRST = -(1 << 63)
+#: Words of the longer of two near lines at least.
+_LEAST = -(-100 * EDITS // (100 - PERCENT))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -46,7 +59,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
-    """Whether two texts of more than ``edits`` characters are within ``edits`` edits.
+    """Whether two arrays of more than ``edits`` items are within ``edits`` edits.
 
     Bit-parallel dynamic programming along the diagonal band of ``2 * edits + 1`` cells:
     bit k of a word stands for row ``column - edits + k``. Vertical differences move one
@@ -58,12 +71,11 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     long = lambda x: F.lit(x).cast("long")
     no = lambda x: F.bitwise_not(x).bitwiseAND(long(mask))
     right = lambda x: F.shiftrightunsigned(x, 1)
-    m, n = F.length(a), F.length(b)
     state = F.struct(long(((1 << edits + 1) - 1) << edits).alias("vp"), long(0).alias("vn"), F.lit(edits).alias("cost"))
 
-    def column(s: Column, j: Column, x: Column, y: Column) -> Column:
-        char = F.get(y, j - 1)
-        same = sum((F.when(F.get(x, j - 1 - edits + k) == char, long(1 << k)).otherwise(long(0)) for k in range(width)), start=long(0))
+    def column(s: Column, j: Column, x: Column, y: Column, m: Column) -> Column:
+        item = F.get(y, j - 1)
+        same = sum((F.when(F.get(x, j - 1 - edits + k) == item, long(1 << k)).otherwise(long(0)) for k in range(width)), start=long(0))
 
         def step(pm: Column) -> Column:
             vp, vn = s["vp"], s["vn"]
@@ -85,19 +97,42 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 
         return let(same, step)
 
-    chars = F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"))
-    walked = let(chars, lambda c: F.aggregate(F.sequence(F.lit(1), n), state, lambda s, j: column(s, j, c["x"], c["y"])))
-    return F.when(F.abs(m - n) > edits, False).otherwise(walked["cost"] <= edits)
+    def walk(c: Column) -> Column:
+        steps = F.sequence(F.lit(1), c["n"])
+        return F.when(F.abs(c["m"] - c["n"]) > edits, False).otherwise(F.aggregate(steps, state, lambda s, j: column(s, j, c["x"], c["y"], c["m"]))["cost"] <= edits)
+
+    # arrays and sizes are values of a variable: an expression would be computed at every step
+    arrays = F.struct(a.alias("x"), b.alias("y"))
+    return let(let(arrays, lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), F.size(c["x"]).alias("m"), F.size(c["y"]).alias("n"))), walk)
 
 
 def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), _SPACES, " "))
 
 
+def word_count(norm: Column) -> Column:
+    """Words of a normalised line."""
+    return F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
+
+
+def _head(norm: Column, words: Column) -> Column:
+    return F.call_function("substring_index", norm, F.lit(" "), words)
+
+
+def _tail(norm: Column, words: Column) -> Column:
+    return F.call_function("substring_index", norm, F.lit(" "), -words)
+
+
+def place(docs: DataFrame) -> Column:
+    """A document's place in the order: its id, null first."""
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))
+    return F.coalesce(F.concat(F.lit("1"), F.col("doc_id").cast("string")), F.lit("0"))
+
+
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    """``place`` (the id, null first), ``text_hash, line_no, norm, h, g`` for every line with a word."""
-    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("place")
-    split = docs.select(place, F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    """``place, text_hash, line_no, norm, h, g`` for every line with a word."""
+    split = docs.select(place(docs).alias("place"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     return (
         split.select("place", "text_hash", "line_no", normalised(F.col("line")).alias("norm"))
         .where(F.col("norm") != "")
@@ -106,141 +141,168 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def cut(length: Column) -> Column:
-    """Characters of each outer segment of a line of this length, the same for most neighbours."""
-    grain = F.when(length >= 16, 8).when(length >= 8, 4).when(length >= 4, 2).otherwise(1)
-    return (grain * F.floor(length / (grain * 2))).cast("int")
+def _key(context: Column, end: str, words: Column, part: Column) -> Column:
+    return F.xxhash64(context, F.lit(end), words.cast("int"), part)
+
 
+def segment_keys(context: Column, rest: Column, n: Column) -> list[tuple[Column, Column, Column]]:
+    """``(key, words matched first, words matched last)`` of the segments under which ``rest``,
+    of ``n`` >= 2 words, is indexed and probes.
 
-def _segment(context: Column, side: str, size: Column, part: Column) -> Column:
-    return F.xxhash64(context, F.lit(side), size, part)
+    Own segments: the first n // 2 words, and the others. Those of a line one word shorter:
+    its first segment differs from the own one only for even n, its last one only for odd n.
+    """
+    half = F.floor(n / 2).cast("int")
+    other = n - half
+    even = n % 2 == 0
+    none = F.lit(0)
+    third = F.when(even, half - 1).otherwise(half)
+    return [
+        (_key(context, "head", half, _head(rest, half)), half, none),
+        (_key(context, "tail", other, _tail(rest, other)), none, other),
+        (
+            F.when(third > 0, F.when(even, _key(context, "head", third, _head(rest, third))).otherwise(_key(context, "tail", third, _tail(rest, third)))),
+            F.when(even, third).otherwise(0),
+            F.when(even, 0).otherwise(third),
+        ),
+    ]
 
 
 def _level(rows: DataFrame) -> DataFrame:
-    """Bucket entries of ``rows(h, g, place, line_no, chars, context, rest)``: with ``key, kind, rest``.
+    """Bucket entries of ``rows(h, g, at, norm, n, lo, hi, context)``, of which the first ``lo`` and last
+    ``hi`` words have matched: the same with ``key, kind`` and the words matched then.
 
-    Kinds: 1 an ordinary bucket; 2 lines that differ in at most one character at one place;
-    3 and 4 a line whose rest is one character, and those with one more before or after it.
+    Kinds: 1 an ordinary bucket; 2 lines of which at most one word is left at one place;
+    3 and 4 a line of which one word is left, and those with one more before or after it.
     """
-    n = F.length("rest")
-    sized = rows.withColumn("n", n).withColumn("e", cut(n)).withColumn("e1", cut(n - 1))
+    left = rows.withColumn("left", F.col("n") - F.col("lo") - F.col("hi"))
+    rest = left.withColumn("rest", F.when(F.col("left") == 0, "").otherwise(_tail(_head(F.col("norm"), F.col("n") - F.col("hi")), F.col("left"))))
+    context = F.col("context")
 
-    def outer(size: Column) -> list[Column]:
-        head, tail = F.substring("rest", F.lit(1), size), F.substring("rest", F.col("n") - size + 1, size)
-        return [
-            F.struct(_segment(F.col("context"), "head", size, head).alias("key"), F.lit(1).alias("kind"), F.substring("rest", size + 1, F.col("n")).alias("rest")),
-            F.struct(_segment(F.col("context"), "tail", size, tail).alias("key"), F.lit(1).alias("kind"), F.substring("rest", F.lit(1), F.col("n") - size).alias("rest")),
-        ]
+    def entry(key: Column, kind: int, first: Column, last: Column) -> Column:
+        return F.struct(key.alias("key"), F.lit(kind).alias("kind"), (F.col("lo") + first).alias("lo"), (F.col("hi") + last).alias("hi"))
 
-    def single(kind: int, char: Column) -> Column:
-        return F.struct(_segment(F.col("context"), "char", F.lit(0), char).alias("key"), F.lit(kind).alias("kind"), F.lit("").alias("rest"))
-
-    alike = F.struct(_segment(F.col("context"), "any", F.lit(0), F.lit("")).alias("key"), F.lit(2).alias("kind"), F.lit("").alias("rest"))
-    first, last = F.substring("rest", F.lit(1), F.lit(1)), F.substring("rest", F.col("n"), F.lit(1))
+    zero = F.lit(0)
+    word = lambda kind, w: entry(_key(context, "word", zero, w), kind, zero, zero)
+    alike = entry(_key(context, "any", zero, F.lit("")), 2, zero, zero)
+    halves = [entry(k, 1, a, b) for k, a, b in segment_keys(context, F.col("rest"), F.col("left"))]
     entries = (
-        F.when(F.col("n") == 0, F.array(alike))
-        .when(F.col("n") == 1, F.array(alike, single(3, F.col("rest"))))
-        .when(F.col("n") == 2, F.array(*outer(F.col("e")), single(4, first), single(4, last)))
-        .when(F.col("e") != F.col("e1"), F.array(*outer(F.col("e")), *outer(F.col("e1"))))
-        .otherwise(F.array(*outer(F.col("e"))))
+        F.when(F.col("left") == 0, F.array(alike))
+        .when(F.col("left") == 1, F.array(alike, word(3, F.col("rest"))))
+        .when(F.col("left") == 2, F.array(*halves[:2], word(4, _head(F.col("rest"), F.lit(1))), word(4, _tail(F.col("rest"), F.lit(1)))))
+        .otherwise(F.array(*halves))
     )
-    return sized.select("h", "g", "place", "line_no", "chars", F.explode(F.array_distinct(entries)).alias("entry")).select("h", "g", "place", "line_no", "chars", "entry.*")
+    kept = [F.col(c) for c in ("h", "g", "at", "norm", "n")]
+    return rest.select(*kept, F.explode(F.array_distinct(entries)).alias("entry")).select(*kept, "entry.*").where(F.col("key").isNotNull())
 
 
-def candidate_pairs(lines: DataFrame, small: int = SMALL) -> DataFrame:
-    """Pairs ``xh, xg`` (later line) and ``yh, yg`` (earlier line) that may be one edit apart.
+@functools.cache
+def _near(a: str, b: str) -> Column:
+    """Whether two members of a bucket are near; lengths are looked at before words.
 
-    ``lines`` holds distinct lines: ``h, g, place, line_no, norm``.
+    Built once: a thousand calls into the JVM make it.
     """
-    rows = lines.select("h", "g", "place", "line_no", F.length("norm").alias("chars"), F.lit(0).cast("long").alias("context"), F.col("norm").alias("rest"))
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    possible = (F.abs(n - m) <= EDITS) & (F.greatest(n, m) >= _LEAST)
+    return F.when(possible, within_edits(F.split(F.col(f"{a}.norm"), " "), F.split(F.col(f"{b}.norm"), " "), EDITS)).otherwise(False)
+
+
+def later_lines(lines: DataFrame, small: int = SMALL) -> DataFrame:
+    """``h, g`` of the lines that an earlier one of ``lines(h, g, at, norm, n)`` is near.
+
+    The lines are distinct, and ``at`` orders them.
+    """
+    rows = lines.select("h", "g", "at", "norm", "n", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).cast("long").alias("context"))
     found: DataFrame | None = None
+    above: DataFrame | None = None
     while True:
         entries = _level(rows)
         sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
         held = materialize(entries.join(sizes, "key"), "line-buckets")
-        order = lambda t: F.struct(f"{t}.place", f"{t}.line_no", f"{t}.h", f"{t}.g")
-        ends = [F.col("x.h").alias("xh"), F.col("x.g").alias("xg"), F.col("y.h").alias("yh"), F.col("y.g").alias("yg")]
+        later = F.col("y.at") < F.col("x.at")
         few = held.where((F.col("size") <= small) & (F.col("kind") == 1))
-        near = F.abs(F.col("x.chars") - F.col("y.chars")) <= EDITS
-        pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (order("y") < order("x")) & near).select(*ends)
+        pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & later & _near("x", "y"))
         alike = held.where(F.col("kind") == 2)
-        earliest = alike.groupBy("key").agg(F.min(F.struct("place", "line_no", "h", "g")).alias("y"))
-        starred = alike.alias("x").join(earliest, "key").where((F.col("x.h") != F.col("y.h")) | (F.col("x.g") != F.col("y.g"))).select(*ends)
+        earliest = alike.groupBy("key").agg(F.min_by(F.struct("at", "norm", "n"), "at").alias("y")).select("key", "y.*")
+        starred = alike.alias("x").join(earliest.alias("y"), (F.col("x.key") == F.col("y.key")) & later & _near("x", "y"))
+        # the one line that is a word and that word's place alone, beside those with a word more
         short, longer = held.where(F.col("kind") == 3).alias("y"), held.where(F.col("kind") == 4).alias("x")
-        beside = longer.join(short, F.col("x.key") == F.col("y.key"))
-        swapped = [F.col("y.h").alias("xh"), F.col("y.g").alias("xg"), F.col("x.h").alias("yh"), F.col("x.g").alias("yg")]
-        both = beside.where(order("y") < order("x")).select(*ends).union(beside.where(order("x") < order("y")).select(*swapped))
-        level = materialize(pairs.union(starred).union(both).distinct(), "line-pairs")
+        beside = longer.join(short, (F.col("x.key") == F.col("y.key")) & _near("x", "y"))
+        sides = beside.select(F.when(later, F.struct("x.h", "x.g")).otherwise(F.struct("y.h", "y.g")).alias("o")).select("o.*")
+        near = pairs.select("x.h", "x.g").union(starred.select("x.h", "x.g")).union(sides)
+        level = materialize(near.distinct(), "line-near")
         found = level if found is None else found.union(level)
-        rows = held.where((F.col("size") > small) & (F.col("kind") == 1)).select("h", "g", "place", "line_no", "chars", F.col("key").alias("context"), "rest")
-        if rows.isEmpty():
+        deeper = held.where((F.col("size") > small) & (F.col("kind") == 1))
+        if above is not None:
+            discard(above)
+        above = held
+        if deeper.isEmpty():
+            discard(held)
             return found.distinct()
+        rows = deeper.select("h", "g", "at", "norm", "n", "lo", "hi", F.col("key").alias("context"))
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``h, g`` of the lines of at least ``MIN_CHARS`` characters that an earlier one is one edit from.
+    """``h, g`` of the lines that an earlier one is near.
 
-    ``distinct`` has ``h, g, place`` (of the first document), and the outer segments' ``keys``.
+    ``distinct`` has ``h, g, place`` (of the first document), and the segments' keys.
     """
-    entries = distinct.where(F.col("chars") >= MIN_CHARS).select("h", "g", "place", F.explode(F.array_distinct(F.filter(F.array("k0", "k1", "k2", "k3"), lambda k: k.isNotNull()))).alias("key"))
+    entries = distinct.select("h", "g", "place", F.explode(F.filter(F.array("k0", "k1", "k2"), lambda k: k.isNotNull())).alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("key")
     wanted = materialize(entries.join(shared, "key").select("h", "g", "place").distinct(), "line-wanted")
-    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))
-    holders = docs.join(wanted.select(F.col("place").alias("wp")).distinct().hint("shuffle_hash"), place == F.col("wp"), "left_semi")
+    holders = docs.join(wanted.select(F.col("place").alias("_line_wanted")).distinct().hint("shuffle_hash"), place(docs) == F.col("_line_wanted"), "left_semi")
     texts = (
-        numbered_lines(holders).where(F.length("norm") >= MIN_CHARS)
+        numbered_lines(holders)
         .join(wanted, ["h", "g", "place"])
         .groupBy("h", "g", "place").agg(F.min("line_no").alias("line_no"), F.first("norm").alias("norm"))
+        .select("h", "g", F.struct("place", "line_no", "h", "g").alias("at"), "norm", word_count(F.col("norm")).alias("n"))
     )
     texts = materialize(texts, "line-texts")
-    pairs = candidate_pairs(texts)
-    x = texts.select(F.col("h").alias("xh"), F.col("g").alias("xg"), F.col("norm").alias("x"))
-    y = texts.select(F.col("h").alias("yh"), F.col("g").alias("yg"), F.col("norm").alias("y"))
-    verified = pairs.join(y, ["yh", "yg"]).join(x, ["xh", "xg"]).where(within_edits(F.col("x"), F.col("y"), EDITS))
-    return verified.select(F.col("xh").alias("h"), F.col("xg").alias("g")).distinct()
+    discard(wanted)
+    found = later_lines(texts)
+    return found
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """Per document that loses lines: ``place, text_hash`` and ``removed``, the numbers of its lines."""
-    n = F.length("norm")
-    e, e1 = cut(n), cut(n - 1)
-    key = lambda side, size, start: F.when(n >= MIN_CHARS, F.xxhash64(F.lit(side), size, F.substring("norm", start, size)))
+    lines = numbered_lines(docs).withColumn("n", word_count(F.col("norm")))
+    n = F.col("n")
+    keys = [F.when(n >= _LEAST - EDITS, key).alias(f"k{i}") for i, (key, _, _) in enumerate(segment_keys(F.lit(0).cast("long"), F.col("norm"), n))]
     # the only pass that normalises and hashes all lines
-    keyed = numbered_lines(docs).select(
-        "place", "text_hash", "line_no", "h", "g", n.alias("chars"),
-        key("head", e, F.lit(1)).alias("k0"), key("tail", e, n - e + 1).alias("k1"),
-        F.when(e != e1, key("head", e1, F.lit(1))).alias("k2"), F.when(e != e1, key("tail", e1, n - e1 + 1)).alias("k3"),
-    )
-    keyed = materialize(keyed, "line-keys")
-    distinct = keyed.groupBy("h", "g").agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("place"), *(F.max(c).alias(c) for c in ("chars", "k0", "k1", "k2", "k3")))
+    keyed = materialize(lines.select("place", "text_hash", "line_no", "h", "g", *keys), "line-keys")
+    distinct = keyed.groupBy("h", "g").agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("place"), *(F.max(c).alias(c) for c in ("k0", "k1", "k2")))
     distinct = materialize(distinct, "line-distinct")
     near = near_lines(docs, distinct).withColumn("near", F.lit(True))
     repeated = distinct.where(F.col("times") > 1).select("h", "g", F.col("place").alias("first"))
     gone = materialize(repeated.join(near, ["h", "g"], "full"), "line-gone")
+    discard(distinct)
 
     met = materialize(keyed.select("place", "text_hash", "line_no", "h", "g").join(gone, ["h", "g"]), "line-met")
+    discard(keyed, gone)
     own = met.where(F.col("near").isNull() & (F.col("place") == F.col("first")))
     stays = own.groupBy("place", "text_hash", "h", "g").agg(F.min("line_no").alias("line_no"))
     later = met.where(F.col("near").isNotNull() | (F.col("place") != F.col("first"))).select("place", "text_hash", "line_no")
     again = own.join(stays, ["place", "text_hash", "h", "g", "line_no"], "left_anti").select("place", "text_hash", "line_no")
-    return later.union(again).groupBy("place", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    removed = later.union(again).groupBy("place", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    removed = materialize(removed, "line-removed")
+    discard(met)
+    return removed
 
 
 def _with_removed(docs: DataFrame, columns: list) -> DataFrame:
     """Columns of ``docs`` beside ``_line_removed``, the numbers of the removed lines."""
-    removed = removed_lines(docs).toDF("_line_place", "_line_hash", "_line_removed")
-    removed = materialize(removed, "line-removed").hint("shuffle_hash")
-    keyed = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("_line_place"), F.xxhash64("text").alias("_line_hash"))
+    removed = removed_lines(docs).toDF("_line_place", "_line_hash", "_line_removed").hint("shuffle_hash")
+    keyed = docs.select(*columns, place(docs).alias("_line_place"), F.xxhash64("text").alias("_line_hash"))
     return keyed.join(removed, ["_line_place", "_line_hash"], "left").withColumn("_line_removed", F.coalesce("_line_removed", F.array().cast("array<int>")))
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """The documents without their removed lines; those left with no word though they had one go."""
-    joined = _with_removed(docs, [F.col(c) for c in docs.columns])
+    joined = _with_removed(docs, [F.col(f"`{c}`") for c in docs.columns])
     lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_line_removed", i))
     text = F.when(F.size("_line_removed") == 0, F.col("text")).otherwise(F.array_join(lines, "\n"))
     kept = joined.withColumn("text", text).where((F.size("_line_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return kept.select(*docs.columns)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,6 +312,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.size("_line_removed").cast("long").alias("n_removed"), F.array_join(F.col("_line_removed").cast("array<string>"), ",").alias("removed_lines"))
 
 
+#: Near lines by another way: equal but for the word at one place, or equal once a word is taken out.
 OP3_SQL = rf"""
 WITH raw AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents WHERE text IS NOT NULL
@@ -257,15 +320,17 @@ WITH raw AS (
   SELECT doc_id, n, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM raw
 ), worded AS (SELECT * FROM lines WHERE norm <> ''),
 firsts AS (
-  SELECT norm, min(struct_pack(d := doc_id, n := n)) AS o, length(norm) AS l FROM worded GROUP BY norm
-), long AS (SELECT *, left(norm, {MIN_CHARS // 2}) AS a, right(norm, {MIN_CHARS // 2}) AS b FROM firsts WHERE l >= {MIN_CHARS}),
-pairs AS (
-  SELECT x.norm AS later, y.norm AS earlier FROM long x JOIN long y ON x.a = y.a AND y.o < x.o AND abs(x.l - y.l) <= 1
-  UNION SELECT x.norm, y.norm FROM long x JOIN long y ON x.b = y.b AND y.o < x.o AND abs(x.l - y.l) <= 1
-), near AS (SELECT DISTINCT later FROM pairs WHERE levenshtein(later, earlier) <= {EDITS}),
+  SELECT norm, min(struct_pack(d := doc_id, n := n)) AS o, string_split(norm, ' ') AS w FROM worded GROUP BY norm
+), less AS (
+  SELECT norm, o, p, array_to_string(list_concat(w[:p - 1], w[p + 1:]), ' ') AS k
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM firsts WHERE len(w) >= {_LEAST})
+), replaced AS (SELECT norm FROM (SELECT norm, o, min(o) OVER (PARTITION BY p, md5(k), length(k)) AS least FROM less) WHERE o <> least),
+added AS (
+  SELECT CASE WHEN f.o < l.o THEN l.norm ELSE f.norm END AS norm FROM less l JOIN firsts f ON f.norm = l.k
+), near AS (SELECT norm FROM replaced UNION SELECT norm FROM added),
 gone AS (
-  SELECT w.doc_id, w.n FROM worded w JOIN firsts f USING (norm) LEFT JOIN near ON near.later = w.norm
-  WHERE near.later IS NOT NULL OR struct_pack(d := w.doc_id, n := w.n) <> f.o
+  SELECT w.doc_id, w.n FROM worded w JOIN firsts f USING (norm) LEFT JOIN near ON near.norm = w.norm
+  WHERE near.norm IS NOT NULL OR struct_pack(d := w.doc_id, n := w.n) <> f.o
 ), g AS (SELECT doc_id, count(*) AS c, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS removed FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines,
   CAST(coalesce(c, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed_lines
