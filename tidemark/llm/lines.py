@@ -11,16 +11,16 @@ is one edit, whatever its length.
 The edit join cuts a line of n words into ``EDITS + 1`` segments that cover it, its first
 n // 2 words and the others. One edit leaves a segment as it is, so the shorter of two near
 lines shares one with the longer, at the same end. Every line is indexed under its own
-segments and probes with those of lines one word shorter; both are keys (context, end,
-words, hash). Members of a small bucket are paired. Members of a large one agree in the
-segment, and what is left of them is cut in the same way under that context, until buckets
-are small or at most one word is left: there all members are near each other, and each
-meets the earliest alone. So a bucket costs its members a constant number of comparisons
+segments and probes with those of lines one word shorter; both are hashes of the words and
+of their number at either end. Members of a small bucket are paired. Members of a large one agree in the
+segment, and what is left of them is cut in the same way, until buckets are small or at
+most one word is left: there all members are near each other, and each meets the earliest
+alone. So a bucket costs its members a constant number of comparisons
 and log2(n) levels, none is expanded into all pairs, and none is capped. That every level
 halves the rest is what one edit buys: with more edits, the rests of a large bucket
 overlap, and exact refinement is no longer linear, so ``EDITS`` is fixed.
 
-Pairs are verified on whole lines, by a banded bit-parallel edit distance over words,
+Pairs are verified on the words that have not matched, by a banded bit-parallel edit distance over words,
 within the join, so that pairs that are not near are never rows. Only lines that share a
 segment with another are fetched with their text.
 
@@ -46,7 +46,7 @@ from tidemark.session import discard, materialize
 EDITS = 1
 PERCENT = 75
 #: Members up to which a bucket's members are paired with each other.
-SMALL = 16
+SMALL = 32
 _SPACES = r"[\x20\x09-\x0D]+"
 _FIRST = -(1 << 63)
 #: Words of the longer of two near lines at least.
@@ -115,14 +115,6 @@ def word_count(norm: Column) -> Column:
     return F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
 
 
-def _head(norm: Column, words: Column) -> Column:
-    return F.call_function("substring_index", norm, F.lit(" "), words)
-
-
-def _tail(norm: Column, words: Column) -> Column:
-    return F.call_function("substring_index", norm, F.lit(" "), -words)
-
-
 def place(docs: DataFrame) -> Column:
     """A document's place in the order: its id, null first."""
     if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
@@ -141,70 +133,78 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _key(context: Column, end: str, words: Column, part: Column) -> Column:
-    return F.xxhash64(context, F.lit(end), words.cast("int"), part)
+def _first(norm: Column, words: Column) -> Column:
+    return F.call_function("substring_index", norm, F.lit(" "), words)
+
+
+def _last(norm: Column, words: Column) -> Column:
+    return F.call_function("substring_index", norm, F.lit(" "), -words)
+
 
+def _key(norm: Column, lo: Column, hi: Column, word: Column | None = None, salt: int = 0) -> Column:
+    """Key of the lines that begin with the same ``lo`` words, end with the same ``hi``, and have ``word`` between."""
+    return F.xxhash64(F.lit(salt), lo, hi, _first(norm, lo), _last(norm, hi), word if word is not None else F.lit(None).cast("string"))
 
-def segment_keys(context: Column, rest: Column, n: Column) -> list[tuple[Column, Column, Column]]:
-    """``(key, words matched first, words matched last)`` of the segments under which ``rest``,
-    of ``n`` >= 2 words, is indexed and probes.
 
-    Own segments: the first n // 2 words, and the others. Those of a line one word shorter:
-    its first segment differs from the own one only for even n, its last one only for odd n.
+def segments(lo: Column, hi: Column, n: Column) -> list[tuple[Column, Column]]:
+    """What two lines may share besides their first ``lo`` and last ``hi`` words, as words then
+    matched at either end, if at least two of the ``n`` words are left.
+
+    The words left are cut into two segments, the shorter half first; a line is indexed by
+    either. It also probes with those of a line one word shorter, which differ from its own
+    in one case each: the first segment if the number left is even, the last if it is odd.
     """
-    half = F.floor(n / 2).cast("int")
-    other = n - half
-    even = n % 2 == 0
-    none = F.lit(0)
+    left = n - lo - hi
+    half = F.floor(left / 2).cast("int")
+    even = left % 2 == 0
     third = F.when(even, half - 1).otherwise(half)
-    return [
-        (_key(context, "head", half, _head(rest, half)), half, none),
-        (_key(context, "tail", other, _tail(rest, other)), none, other),
-        (
-            F.when(third > 0, F.when(even, _key(context, "head", third, _head(rest, third))).otherwise(_key(context, "tail", third, _tail(rest, third)))),
-            F.when(even, third).otherwise(0),
-            F.when(even, 0).otherwise(third),
-        ),
-    ]
+    some = lambda x: F.when(third > 0, x)
+    return [(lo + half, hi), (lo, hi + left - half), (some(lo + F.when(even, third).otherwise(0)), some(hi + F.when(even, 0).otherwise(third)))]
 
 
 def _level(rows: DataFrame) -> DataFrame:
-    """Bucket entries of ``rows(h, g, at, norm, n, lo, hi, context)``, of which the first ``lo`` and last
-    ``hi`` words have matched: the same with ``key, kind`` and the words matched then.
+    """Bucket entries of ``rows(h, g, at, norm, n, lo, hi)``, of which the first ``lo`` and last ``hi``
+    words have matched: the same with the words matched then, ``rest`` between them, ``key, key2, kind``.
 
     Kinds: 1 an ordinary bucket; 2 lines of which at most one word is left at one place;
     3 and 4 a line of which one word is left, and those with one more before or after it.
+    A bucket's key does not depend on the way to it, so no line is twice in one.
     """
-    left = rows.withColumn("left", F.col("n") - F.col("lo") - F.col("hi"))
-    rest = left.withColumn("rest", F.when(F.col("left") == 0, "").otherwise(_tail(_head(F.col("norm"), F.col("n") - F.col("hi")), F.col("left"))))
-    context = F.col("context")
-
-    def entry(key: Column, kind: int, first: Column, last: Column) -> Column:
-        return F.struct(key.alias("key"), F.lit(kind).alias("kind"), (F.col("lo") + first).alias("lo"), (F.col("hi") + last).alias("hi"))
-
-    zero = F.lit(0)
-    word = lambda kind, w: entry(_key(context, "word", zero, w), kind, zero, zero)
-    alike = entry(_key(context, "any", zero, F.lit("")), 2, zero, zero)
-    halves = [entry(k, 1, a, b) for k, a, b in segment_keys(context, F.col("rest"), F.col("left"))]
+    norm, n, lo, hi = (F.col(c) for c in ("norm", "n", "lo", "hi"))
+    left = n - lo - hi
+    entry = lambda kind, a, b, w=None: F.struct(F.lit(kind).alias("kind"), a.alias("lo"), b.alias("hi"), (F.lit(None).cast("string") if w is None else w).alias("word"))
+    word = lambda kind, w: entry(kind, lo, hi, w)
+    rest = _last(_first(norm, n - hi), left)
+    halves = [entry(1, a, b) for a, b in segments(lo, hi, n)]
     entries = (
-        F.when(F.col("left") == 0, F.array(alike))
-        .when(F.col("left") == 1, F.array(alike, word(3, F.col("rest"))))
-        .when(F.col("left") == 2, F.array(*halves[:2], word(4, _head(F.col("rest"), F.lit(1))), word(4, _tail(F.col("rest"), F.lit(1)))))
+        F.when(left == 0, F.array(entry(2, lo, hi)))
+        .when(left == 1, F.array(entry(2, lo, hi), word(3, rest)))
+        .when(left == 2, F.array(*halves[:2], word(4, _first(rest, F.lit(1))), word(4, _last(rest, F.lit(1)))))
         .otherwise(F.array(*halves))
     )
     kept = [F.col(c) for c in ("h", "g", "at", "norm", "n")]
-    return rest.select(*kept, F.explode(F.array_distinct(entries)).alias("entry")).select(*kept, "entry.*").where(F.col("key").isNotNull())
+    split = rows.select(*kept, F.explode(F.array_distinct(entries)).alias("entry")).select(*kept, "entry.*").where(F.col("lo").isNotNull())
+    left = n - lo - hi
+    # a word between tells the kinds 3 and 4 from 2 and 1, and 2 has fewer words left than 1
+    side = F.coalesce("word", F.when(F.col("kind") == 2, F.lit("")))
+    return split.select(
+        *kept, "lo", "hi", "kind",
+        F.when(left > 0, _last(_first(norm, n - hi), left)).otherwise("").alias("rest"),
+        _key(norm, lo, hi, side).alias("key"), _key(norm, lo, hi, side, 1).alias("key2"),
+    )
 
 
 @functools.cache
 def _near(a: str, b: str) -> Column:
-    """Whether two members of a bucket are near; lengths are looked at before words.
+    """Whether two members of a bucket, equal but for their ``rest``, are near.
 
-    Built once: a thousand calls into the JVM make it.
+    Lengths are looked at before words, and only words not matched yet are compared, behind
+    a word of no text. Built once, as a thousand calls into the JVM make it.
     """
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    possible = (F.abs(n - m) <= EDITS) & (F.greatest(n, m) >= _LEAST)
-    return F.when(possible, within_edits(F.split(F.col(f"{a}.norm"), " "), F.split(F.col(f"{b}.norm"), " "), EDITS)).otherwise(False)
+    possible = (F.abs(n - m) <= EDITS) & (F.greatest(n, m) >= _LEAST) & (F.col(f"{a}.key2") == F.col(f"{b}.key2"))
+    words = lambda t: F.split(F.when(F.col(f"{t}.rest") == "", "").otherwise(F.concat(F.lit(" "), f"{t}.rest")), " ")
+    return F.when(possible, within_edits(words(a), words(b), EDITS)).otherwise(False)
 
 
 def later_lines(lines: DataFrame, small: int = SMALL) -> DataFrame:
@@ -212,18 +212,21 @@ def later_lines(lines: DataFrame, small: int = SMALL) -> DataFrame:
 
     The lines are distinct, and ``at`` orders them.
     """
-    rows = lines.select("h", "g", "at", "norm", "n", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).cast("long").alias("context"))
+    rows = lines.select("h", "g", "at", "norm", "n", F.lit(0).alias("lo"), F.lit(0).alias("hi"))
     found: DataFrame | None = None
     above: DataFrame | None = None
     while True:
         entries = _level(rows)
+        if above is not None:  # one bucket is reached by several ways
+            entries = materialize(entries.dropDuplicates(["key", "h", "g"]), "line-entries")
+            discard(above)
         sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
         held = materialize(entries.join(sizes, "key"), "line-buckets")
         later = F.col("y.at") < F.col("x.at")
         few = held.where((F.col("size") <= small) & (F.col("kind") == 1))
         pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & later & _near("x", "y"))
         alike = held.where(F.col("kind") == 2)
-        earliest = alike.groupBy("key").agg(F.min_by(F.struct("at", "norm", "n"), "at").alias("y")).select("key", "y.*")
+        earliest = alike.groupBy("key").agg(F.min_by(F.struct("at", "rest", "n", "key2"), "at").alias("y")).select("key", "y.*")
         starred = alike.alias("x").join(earliest.alias("y"), (F.col("x.key") == F.col("y.key")) & later & _near("x", "y"))
         # the one line that is a word and that word's place alone, beside those with a word more
         short, longer = held.where(F.col("kind") == 3).alias("y"), held.where(F.col("kind") == 4).alias("x")
@@ -232,14 +235,14 @@ def later_lines(lines: DataFrame, small: int = SMALL) -> DataFrame:
         near = pairs.select("x.h", "x.g").union(starred.select("x.h", "x.g")).union(sides)
         level = materialize(near.distinct(), "line-near")
         found = level if found is None else found.union(level)
-        deeper = held.where((F.col("size") > small) & (F.col("kind") == 1))
         if above is not None:
-            discard(above)
+            discard(entries)
         above = held
+        deeper = held.where((F.col("size") > small) & (F.col("kind") == 1))
         if deeper.isEmpty():
             discard(held)
             return found.distinct()
-        rows = deeper.select("h", "g", "at", "norm", "n", "lo", "hi", F.col("key").alias("context"))
+        rows = deeper.select("h", "g", "at", "norm", "n", "lo", "hi")
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -267,7 +270,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """Per document that loses lines: ``place, text_hash`` and ``removed``, the numbers of its lines."""
     lines = numbered_lines(docs).withColumn("n", word_count(F.col("norm")))
     n = F.col("n")
-    keys = [F.when(n >= _LEAST - EDITS, key).alias(f"k{i}") for i, (key, _, _) in enumerate(segment_keys(F.lit(0).cast("long"), F.col("norm"), n))]
+    zero = F.lit(0)
+    shared = segments(zero, zero, n)
+    keys = [F.when((n >= _LEAST - EDITS) & a.isNotNull(), _key(F.col("norm"), a, b)).alias(f"k{i}") for i, (a, b) in enumerate(shared)]
     # the only pass that normalises and hashes all lines
     keyed = materialize(lines.select("place", "text_hash", "line_no", "h", "g", *keys), "line-keys")
     distinct = keyed.groupBy("h", "g").agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("place"), *(F.max(c).alias(c) for c in ("k0", "k1", "k2")))
