@@ -157,15 +157,56 @@ def test_state_survives_and_merges(spark, tmp_path):
     store = ParquetStore(spark, f"file://{tmp_path}/state", merge_after=2)
     for e in range(3):
         store.append("n", e, kv(spark, {("a", e): 1}))
+    store.commit({"n": 2})
+    store.append("n", 3, kv(spark, {("lost", 3): 1}))  # no commit follows
     again = ParquetStore(spark, f"file://{tmp_path}/state")
     assert z.to_rows(again.total("n", 2)) == {("a", 0): 1, ("a", 1): 1, ("a", 2): 1}
     assert z.to_rows(again.total("n", 0)) == {("a", 0): 1}
     assert again.evict("n", 1) == 1 and again.size() == 2
     assert z.to_rows(again.total("n", 2)) == {("a", 0): 1, ("a", 1): 1, ("a", 2): 1}
+    with pytest.raises(LookupError):
+        again.total("n", 0)
     with pytest.raises(ValueError):
         again.append("n", 2, kv(spark, {}))
 
 
+def test_segments_merge_by_magnitude(spark, tmp_path):
+    store = ParquetStore(spark, f"file://{tmp_path}/state", merge_after=2)
+    for e in range(7):
+        store.append("n", e, kv(spark, {("a", e): 1}))
+        store.tidy("n", e)
+    assert store.epochs("n") == [3, 5, 6] and z.to_rows(store.total("n", 6)) == {("a", e): 1 for e in range(7)}
+
+
+def lagging(spark, path):
+    c = Circuit(spark, ParquetStore(spark, path, merge_after=2))
+    a, b = c.source("a", KV), c.source("b", KV)
+    a.join(b, ["k"], [F.col("l.v").alias("v"), F.col("r.v").alias("w")]).view("out")
+    a.plus(b).view("all")
+    a.view("a")
+    return c
+
+
+def test_sources_far_apart_and_a_restart(spark, tmp_path):
+    path = f"file://{tmp_path}/state"
+    c = lagging(spark, path)
+    for e in range(20):
+        c.push("a", kv(spark, {("k", e): 1}))
+    with pytest.raises(LookupError):
+        c.snapshot("a", 3) if len(c.store.epochs("0-source")) < 20 else c.snapshot("a", 99)
+    c = lagging(spark, path)  # as after a crash
+    assert c.done == {0: 19} and c.epoch("out") == -1
+    for e in range(20):
+        if e == 10:
+            c = lagging(spark, path)
+        c.push("b", kv(spark, {("k", 100): 1} if e == 7 else {}))
+    assert c.epoch("out") == 19
+    assert z.to_rows(c.snapshot("out")) == {(e, 100): 1 for e in range(20)}
+    assert z.to_rows(c.snapshot("all")) == {("k", e): 1 for e in (*range(20), 100)}
+    with pytest.raises(ValueError):
+        c.push("a", kv(spark, {}), epoch=19)
+
+
 def test_any_aggregate(spark):
     c = one_view(spark, lambda s: s.group_by_pandas(["k"], lambda r: ",".join(map(str, sorted(r["v"]))), "all", "string"), KV)
     c.push("s0", kv(spark, {("a", 2): 1, ("a", 1): 3}))

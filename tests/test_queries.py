@@ -3,10 +3,7 @@ from oracle import check
 
 from tidemark import catalog
 
-SLOW = {"z_groupby_pandas", "z_banking", "g_reach_delete", "d_fact_retract", "d_rule_retract", "z_join_keep", "z_groupby_min", "z_groupby_top", "z_groupby_avg"}
-
-
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_its_sql(spark, sf_dir, name):
     check(spark, sf_dir, catalog.QUERIES[name], catalog.ORACLE_SQL[name])
 

@@ -10,9 +10,15 @@ batch query on the sums of the sources:
 * distinct compares the touched rows' weights before and after;
 * group-by recomputes the touched groups before and after.
 
-Only sums that a node needs are kept, as appended segments, and touched keys are met by
-semi-joins that Spark broadcasts while the change is small. An empty push is a heartbeat:
-views over several sources are read at the epoch that all of them have reached.
+Only sums that a node needs are kept, as appended segments. Joins read them as they are;
+distinct and group-by first cut them to the touched keys, by semi-joins that Spark
+broadcasts while the change is small, and consolidate what is left: the rest of the state
+is not shuffled. An empty push is a heartbeat: views over several sources are read at the
+epoch that all of them have reached. Changes that a slower reader is yet to see are kept
+apart from the sums.
+
+A push commits all relations at once. A circuit that is built again on the same store goes
+on from the last commit.
 """
 
 from __future__ import annotations
@@ -41,6 +47,7 @@ class Node:
     inputs: tuple[Node, ...]
     rule: Callable
     label: str = ""
+    sources: frozenset[int] = frozenset()
     distinct: bool = False
     detail: dict = field(default_factory=dict)
 
@@ -129,15 +136,15 @@ class Node:
         def rule(at: Epoch) -> DataFrame:
             return at.change(0, at.epoch - 1)
 
-        return self.circuit._add("delay", (self,), rule)
+        return self.circuit._add("delay", (self,), rule, back=1)
 
     def integrate(self) -> Node:
         """The running sum as the value of each epoch."""
-        return self.circuit._add("integrate", (self,), lambda at: at.new(0), keeps=True)
+        return self.circuit._add("integrate", (self,), lambda at: z.consolidate(at.new(0)), keeps=True)
 
     def differentiate(self) -> Node:
         """The value of each epoch less that of the epoch before."""
-        return self.circuit._add("differentiate", (self,), lambda at: z.add(at.change(0), z.negate(at.change(0, at.epoch - 1))))
+        return self.circuit._add("differentiate", (self,), lambda at: z.add(at.change(0), z.negate(at.change(0, at.epoch - 1))), back=1)
 
     def view(self, name: str) -> Node:
         """Name the relation; its sum is kept and can be read at any kept epoch."""
@@ -148,7 +155,10 @@ class Node:
 
 @dataclass
 class Epoch:
-    """What a rule may read: inputs' changes, and their sums before and after the epoch."""
+    """What a rule may read: inputs' changes, and their sums before and after the epoch.
+
+    The sums are not consolidated: a payload may stand in several rows, and their weights add up.
+    """
 
     circuit: Circuit
     node: Node
@@ -183,7 +193,8 @@ def _linear(op: Callable[..., DataFrame]) -> Callable:
 def _whole(op: Callable[..., DataFrame]) -> Callable:
     def rule(at: Epoch) -> DataFrame:
         n = range(len(at.node.inputs))
-        return z.subtract(op(*map(at.new, n)), op(*map(at.old, n)))
+        total = lambda sums: op(*(z.consolidate(sums(i)) for i in n))
+        return z.subtract(total(at.new), total(at.old))
 
     rule.reads_sums = True
     return rule
@@ -198,7 +209,8 @@ def _bilinear(op: Callable[..., DataFrame]) -> Callable:
 
 
 def _distinct(at: Epoch) -> DataFrame:
-    return z.distinct_change(at.old(0), z.consolidate(at.change(0)))
+    change = z.consolidate(at.change(0))
+    return z.distinct_change(z.consolidate(z.semi(at.old(0), change, z.payload(change))), change)
 
 
 _distinct.reads_sums = True
@@ -208,7 +220,7 @@ def _grouped(keys: Sequence[str], fn: Callable[[DataFrame], DataFrame]) -> Calla
     def rule(at: Epoch) -> DataFrame:
         change = at.change(0)
         touched = change.select(*keys).distinct() if keys else change.select(F.lit(1).alias("_k")).limit(1)
-        old = z.semi(at.old(0), touched, keys)
+        old = z.consolidate(z.semi(at.old(0), touched, keys))
         return z.subtract(fn(z.add(old, change)), fn(old))
 
     rule.reads_sums = True
@@ -228,15 +240,21 @@ class Circuit:
         self.done: dict[int, int] = {}
         self._changes: dict[tuple[int, int], DataFrame] = {}
         self._keeps: set[int] = set()
+        self._places: list[progress.Place] = []
 
     # -- building -------------------------------------------------------------------
 
-    def _add(self, kind: str, inputs: tuple[Node, ...], rule: Callable, distinct: bool = False, keeps: bool = False, **detail) -> Node:
+    def _add(self, kind: str, inputs: tuple[Node, ...], rule: Callable, distinct: bool = False, keeps: bool = False, back: int = 0, **detail) -> Node:
         if any(i.circuit is not self or i.id >= len(self.nodes) for i in inputs):
             raise ValueError("inputs must be nodes of this circuit")
         node = Node(self, len(self.nodes), kind, inputs, rule, distinct=distinct, detail=detail)
+        node.sources = frozenset().union(*(i.sources for i in inputs)) if inputs else frozenset((node.id,))
         self.nodes.append(node)
-        if keeps or getattr(rule, "reads_sums", False):
+        self._places.append(progress.Place(tuple(i.id for i in inputs), back))
+        if (at := self.store.progress.get(self._key(node), -1)) >= 0:
+            self.done[node.id] = at
+        # sums that are read, and changes that a slower reader sees after a restart
+        if keeps or back or getattr(rule, "reads_sums", False) or any(i.sources != node.sources for i in inputs):
             self._keeps |= {i.id for i in inputs}
         return node
 
@@ -278,6 +296,7 @@ class Circuit:
         return found
 
     def _total(self, node: Node, epoch: int) -> DataFrame:
+        """The sum up to an epoch, not consolidated."""
         found = self.store.total(self._key(node), epoch) if epoch >= 0 else None
         return found if found is not None else self._empty(node)
 
@@ -299,6 +318,7 @@ class Circuit:
         self._changes[node.id, at] = change
         self._settle(node, at)
         self.run()
+        self.store.commit({self._key(n): self.done[n.id] for n in self.nodes if n.id in self.done})
         return at
 
     def _settle(self, node: Node, epoch: int) -> None:
@@ -308,9 +328,6 @@ class Circuit:
             change = z.consolidate(self._changes[node.id, epoch])
             self.store.append(self._key(node), epoch, change)
             self._changes[node.id, epoch] = self.store.change(self._key(node), epoch)
-            merge_after = getattr(self.store, "merge_after", None)
-            if merge_after and len(self.store.epochs(self._key(node))) > merge_after:
-                self.store.evict(self._key(node), epoch - 1)
 
     def run(self) -> None:
         """Compute every change whose inputs are there."""
@@ -322,6 +339,8 @@ class Circuit:
                 self.schemas.setdefault(node.id, change.schema)
                 self._changes[node.id, at] = change
                 self._settle(node, at)
+        for node, settled in zip(self.nodes, self._settled(), strict=True):
+            self.store.tidy(self._key(node), settled)
         self._forget()
 
     def _forget(self) -> None:
@@ -337,14 +356,18 @@ class Circuit:
         """The last epoch that a view has, -1 before its first."""
         return self.done.get(self.views[name].id, -1)
 
+    def _at(self, name: str, epoch: int | None) -> int:
+        if epoch is not None and epoch > self.epoch(name):
+            raise LookupError(f"{name} has not reached epoch {epoch}")
+        return self.epoch(name) if epoch is None else epoch
+
     def delta(self, name: str, epoch: int | None = None) -> DataFrame:
         """A view's change of one epoch, by default its last."""
-        node = self.views[name]
-        return self._change(node, self.epoch(name) if epoch is None else epoch)
+        return self._change(self.views[name], self._at(name, epoch))
 
     def snapshot(self, name: str, epoch: int | None = None) -> DataFrame:
         """A view's sum up to an epoch, by default the last that all its sources have reached."""
-        return self._total(self.views[name], self.epoch(name) if epoch is None else epoch)
+        return z.consolidate(self._total(self.views[name], self._at(name, epoch)))
 
     latest = snapshot
 
@@ -364,34 +387,18 @@ class Circuit:
 
     # -- progress -------------------------------------------------------------------
 
-    def rules(self) -> list[progress.Rule]:
-        """The circuit's progress rules on one axis, the epoch."""
-        clock, out = progress.Clock(1), []
-        for n in self.nodes:
-            ids = [i.id for i in n.inputs]
-            if n.kind == "source":
-                done = self.done.get(n.id, -1)
-                out.append(progress.source(progress.Frontier.of(clock, *([(done,)] if done >= 0 else []))))
-            elif n.kind == "delay":
-                out.append(progress.axis_shift(ids[0], 0))
-            elif n.kind == "integrate":
-                out.append(progress.feedback(ids[0], n.id, 0))
-            else:
-                out.append(progress.meet(*ids))
-        return out
+    def frontiers(self) -> dict[int, int]:
+        """The epoch that every relation can reach by what its sources have."""
+        return dict(enumerate(progress.reached(self._places, {n.id: self.done.get(n.id, -1) for n in self.sources.values()})))
 
-    def frontiers(self) -> dict[int, progress.Frontier]:
-        return dict(enumerate(progress.propagate_forward(self.rules())))
+    def _settled(self, cursors: dict[str, int] | None = None) -> list[int]:
+        done = [self.done.get(n.id, -1) for n in self.nodes]
+        at = {name: self.epoch(name) for name in self.views} if cursors is None else cursors
+        return progress.settled(self._places, done, {self.views[v].id: e for v, e in at.items()})
 
     def compact(self, cursors: dict[str, int] | None = None) -> int:
         """Merge state that no reader at or after the cursors (by default: the views' last
         epochs) can tell apart; the number of segments saved."""
-        clock = progress.Clock(1)
-        seeds = {self.views[v].id: progress.Frontier.of(clock, (e,)) for v, e in (cursors or {v: self.epoch(v) for v in self.views}).items() if e >= 0}
-        dead = progress.propagate_backward(self.rules(), seeds)
-        saved = 0
-        for node in self.nodes:
-            top = max((t[0] for t in dead[node.id].tops), default=-1) if node.id in dead and not dead[node.id].all else -1
-            if top > 0:
-                saved += self.store.evict(self._key(node), int(min(top, self.done.get(node.id, -1))) - 1)
+        saved = sum(self.store.evict(self._key(n), e) for n, e in zip(self.nodes, self._settled(cursors), strict=True))
+        self.store.commit(self.store.progress)
         return saved

@@ -1,219 +1,55 @@
-"""Logical time and progress, on the driver.
+"""How far the relations of a circuit have come, and how much of their past is still read.
 
-A time is a tuple of naturals, one per axis, any of which may be ``OMEGA``. A frontier is
-a set of settled times, closed downwards and held by its maximal points. Rules say how a
-node's frontier follows from its inputs' and, backwards, which cells of its inputs are
-dead once readers have passed a cursor.
+Time is the number of an epoch; -1 stands before the first. A relation has *reached* the
+last epoch whose change it has, and all before it. Its past is *settled* up to an epoch if
+no reader can tell apart the changes up to there any more, so that they may be one.
+
+Both are found on the driver in one pass over the graph, which holds nodes in an order in
+which inputs come first. A node reads its inputs' changes of the epoch it computes next,
+``back`` epochs before it as well (1 for a delay), and sums up to the epoch before.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
-
-OMEGA = math.inf
-Time = tuple[float, ...]
-
-
-@dataclass(frozen=True)
-class Clock:
-    """Times of a fixed number of axes, ordered componentwise."""
-
-    axes: int
-
-    def __post_init__(self):
-        if self.axes < 0:
-            raise ValueError("a clock has no negative number of axes")
-
-    def at(self, *parts: float) -> Time:
-        if len(parts) != self.axes:
-            raise ValueError(f"this clock has {self.axes} axes, the time has {len(parts)}")
-        if any(p < 0 for p in parts):
-            raise ValueError("times are not negative")
-        return tuple(parts)
-
-    @property
-    def bottom(self) -> Time:
-        return (0,) * self.axes
-
-    @staticmethod
-    def leq(a: Time, b: Time) -> bool:
-        return all(x <= y for x, y in zip(a, b, strict=True))
-
-    @staticmethod
-    def meet(a: Time, b: Time) -> Time:
-        return tuple(map(min, a, b))
-
-    @staticmethod
-    def join(a: Time, b: Time) -> Time:
-        return tuple(map(max, a, b))
-
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-def after(part: float) -> float:
-    """The next moment of an axis; OMEGA is its own."""
-    return part if part == OMEGA else part + 1
-
-
-def before(part: float) -> float | None:
-    """The moment before, None at the start; OMEGA is its own."""
-    if part == OMEGA:
-        return part
-    return part - 1 if part > 0 else None
+NOTHING = -1
 
 
 @dataclass(frozen=True)
-class Frontier:
-    """A downward closed set of times: the points under ``tops``, or all times."""
-
-    clock: Clock
-    tops: frozenset[Time] = frozenset()
-    all: bool = False
-
-    @staticmethod
-    def of(clock: Clock, *points: Time) -> Frontier:
-        points = {clock.at(*p) for p in points}
-        return Frontier(clock, frozenset(p for p in points if not any(p != q and clock.leq(p, q) for q in points)))
-
-    @staticmethod
-    def everything(clock: Clock) -> Frontier:
-        return Frontier(clock, all=True)
-
-    def add(self, *points: Time) -> Frontier:
-        return self if self.all else Frontier.of(self.clock, *self.tops, *points)
-
-    def covers(self, point: Time) -> bool:
-        return self.all or any(self.clock.leq(point, t) for t in self.tops)
-
-    def __le__(self, other: Frontier) -> bool:
-        return other.all or not self.all and all(map(other.covers, self.tops))
-
-    def __or__(self, other: Frontier) -> Frontier:
-        """Settled in either."""
-        return Frontier.everything(self.clock) if self.all or other.all else self.add(*other.tops)
-
-    def __and__(self, other: Frontier) -> Frontier:
-        """Settled in both."""
-        if self.all or other.all:
-            return other if self.all else self
-        return Frontier.of(self.clock, *(self.clock.meet(a, b) for a in self.tops for b in other.tops))
-
-    def _each(self, change: Callable[[Time], Time | None], clock: Clock | None = None) -> Frontier:
-        clock = clock or self.clock
-        if self.all:
-            return Frontier.everything(clock)
-        return Frontier.of(clock, *(p for p in map(change, self.tops) if p is not None))
-
-    def shift(self, axis: int) -> Frontier:
-        """One moment later on an axis."""
-        return self._each(lambda t: (*t[:axis], after(t[axis]), *t[axis + 1 :]))
-
-    def retreat(self, axis: int) -> Frontier:
-        """One moment earlier on an axis; points at its start vanish."""
-        return self._each(lambda t: None if before(t[axis]) is None else (*t[:axis], before(t[axis]), *t[axis + 1 :]))
-
-    def retreat_omega_fill(self, axis: int) -> Frontier:
-        """One moment earlier on an axis, and all moments of the others."""
-        return self._each(lambda t: None if before(t[axis]) is None else tuple(before(x) if i == axis else OMEGA for i, x in enumerate(t)))
-
-    def drop_axis(self, axis: int) -> Frontier:
-        return self._each(lambda t: t[:axis] + t[axis + 1 :], Clock(self.clock.axes - 1))
-
-    def insert_axis(self, axis: int, value: float) -> Frontier:
-        return self._each(lambda t: (*t[:axis], value, *t[axis:]), Clock(self.clock.axes + 1))
-
-
-def _to_each(inputs: Iterable[int], cursor: Frontier) -> dict[int, Frontier]:
-    return {i: cursor for i in inputs}
-
-
-@dataclass(frozen=True)
-class Rule:
-    """How progress passes a node, in both directions."""
-
-    inputs: tuple[int, ...]
-    forward: Callable[[Mapping[int, Frontier]], Frontier] = field(compare=False)
-    backward: Callable[[Frontier], dict[int, Frontier]] = field(compare=False)
-
-
-def source(frontier: Frontier) -> Rule:
-    return Rule((), lambda _: frontier, lambda _: {})
-
-
-def identity(node: int) -> Rule:
-    """A pointwise node of one input."""
-    return Rule((node,), lambda f: f[node], lambda c: {node: c})
-
-
-def meet(*nodes: int) -> Rule:
-    """A pointwise node of several inputs: settled where all of them are."""
-    if not nodes:
-        raise ValueError("a meet needs an input")
-
-    def forward(found: Mapping[int, Frontier]) -> Frontier:
-        out = found[nodes[0]]
-        for n in nodes[1:]:
-            out = out & found[n]
-        return out
-
-    return Rule(nodes, forward, lambda c: _to_each(nodes, c))
-
-
-def axis_shift(node: int, axis: int) -> Rule:
-    """A delay: settled a moment later, and at the bottom in any case."""
-
-    def forward(found: Mapping[int, Frontier]) -> Frontier:
-        moved = found[node].shift(axis)
-        return moved if moved.all or moved.tops else moved.add(moved.clock.bottom)
-
-    return Rule((node,), forward, lambda c: {node: c.retreat_omega_fill(axis)})
-
-
-def axis_introduction(node: int, axis: int) -> Rule:
-    """A new axis, on all of which the value is settled."""
-    return Rule((node,), lambda f: f[node].insert_axis(axis, OMEGA), lambda c: {node: c.drop_axis(axis)})
-
-
-def feedback(node: int, itself: int, axis: int) -> Rule:
-    """A running sum: its input at the same time, and itself a moment before."""
-    return Rule((node,), lambda f: f[node], lambda c: {node: c, itself: c.retreat_omega_fill(axis)})
+class Place:
+    """A relation's inputs by position, and how many epochs back it reads them."""
 
+    inputs: tuple[int, ...] = ()
+    back: int = 0
 
-def propagate_forward(rules: Sequence[Rule]) -> list[Frontier]:
-    """Every node's settled frontier; a node's inputs come before it."""
-    found: list[Frontier] = []
-    for rule in rules:
-        found.append(rule.forward({i: found[i] for i in rule.inputs}))
-    return found
 
+def advance(epoch: int) -> int:
+    """The epoch after one, 0 after nothing."""
+    return max(epoch, NOTHING) + 1
 
-def propagate_backward(rules: Sequence[Rule], cursors: Mapping[int, Frontier]) -> dict[int, Frontier]:
-    """What is dead at every node that readers at ``cursors`` depend on; readers meet."""
-    dead = dict(cursors)
-    for i in reversed(range(len(rules))):
-        if i in dead:
-            for target, part in rules[i].backward(dead[i]).items():
-                dead[target] = dead[target] & part if target in dead else part
-    return dead
 
+def reached(graph: Sequence[Place], sources: Mapping[int, int]) -> list[int]:
+    """The epoch that each relation can reach if its sources have reached theirs: the slowest input's."""
+    out: list[int] = []
+    for at, place in enumerate(graph):
+        if any(i >= at for i in place.inputs):
+            raise ValueError("inputs come before their readers")
+        out.append(min(out[i] for i in place.inputs) if place.inputs else sources.get(at, NOTHING))
+    return out
 
-def lattice_laws(clock: Clock, a: Time, b: Time, c: Time) -> dict[str, bool]:
-    """Whether three times obey the laws of a distributive lattice with a bottom."""
-    j, m, le = clock.join, clock.meet, clock.leq
-    return {
-        "commutative": j(a, b) == j(b, a) and m(a, b) == m(b, a),
-        "associative": j(j(a, b), c) == j(a, j(b, c)) and m(m(a, b), c) == m(a, m(b, c)),
-        "absorptive": j(a, m(a, b)) == a and m(a, j(a, b)) == a,
-        "idempotent": j(a, a) == a and m(a, a) == a,
-        "reflexive": le(a, a),
-        "antisymmetric": not (le(a, b) and le(b, a)) or a == b,
-        "transitive": not (le(a, b) and le(b, c)) or le(a, c),
-        "consistent": le(a, b) == (m(a, b) == a) == (j(a, b) == b),
-        "bounded": le(clock.bottom, a),
-    }
 
+def settled(graph: Sequence[Place], done: Sequence[int], cursors: Mapping[int, int]) -> list[int]:
+    """The epoch up to which each relation's changes may be one, -1 if none may.
 
-def chain_laws(x: float, y: float) -> dict[str, bool]:
-    """Whether two moments obey the laws of a totally ordered axis."""
-    back = before(after(x))
-    return {"total": x <= y or y <= x, "inverse": back == x, "increasing": x == OMEGA or after(x) > x}
+    ``done`` are the epochs reached, ``cursors`` those at which relations are read from
+    outside; an epoch that a reader is yet to compute, or that a cursor stands at, stays.
+    """
+    needed = [advance(e) for e in done]
+    for at, epoch in cursors.items():
+        needed[at] = min(needed[at], max(epoch, 0))
+    for at, place in enumerate(graph):
+        for i in place.inputs:
+            needed[i] = min(needed[i], advance(done[at]) - place.back)
+    return [max(NOTHING, e - 1) for e in needed]
