@@ -186,3 +186,32 @@ def test_added_tokens_are_matched_by_case():
     ids, offsets = bpe.encode(values)
     for t, a, b in zip(values, offsets[:-1], offsets[1:], strict=True):
         assert ids[a:b].tolist() == [*bpe.tokenizer.encode(t, add_special_tokens=False).ids, token_shards.END_ID]
+
+
+def test_html_regions_follow_the_threshold(monkeypatch):
+    links = "".join(f"<li><a href='/{k}'>part {k}</a></li>" for k in range(9))
+    text = "".join(f"<p>{'A sentence of this page that goes on for some words. ' * 3}</p><p>Short {k}.</p>" for k in range(4))
+    page = f"<html><body><div><ul>{links}</ul></div><div><h2>Title</h2>{text}</div><div class='footer'>Imprint</div></body></html>"
+    want = html_text.main_blocks(f"<article><h2>Title</h2>{text}</article>")
+    assert len(want) == 9 and html_text.main_blocks(page) == want  # no element that says so by its kind
+    two = page.replace("<p>Short 1.</p>", "</div><div><ul>" + links + "</ul></div><div><p>Short 1.</p>")
+    assert html_text.main_blocks(two) == want
+    monkeypatch.setattr(html_text, "threshold", lambda values: 0.0)
+    assert html_text.main_blocks(page) != want
+
+
+def test_html_smoothing_and_threshold_by_hand():
+    values = [0.0, 10.0, 0.0, 200.0, 180.0]
+    kernel = {d: 2.718281828459045 ** (-d * d / 2) for d in range(-3, 4)}
+    want = [sum(kernel[i - j] * v for j, v in enumerate(values) if abs(i - j) <= 3) / sum(kernel[i - j] for j in range(5) if abs(i - j) <= 3) for i in range(5)]
+    assert html_text.smoothed(values) == pytest.approx(want)
+    assert 1 < html_text.threshold([0.0, 1.0, 5.0, 6.0]) < 5 and html_text.threshold([3.0]) == 3.0
+
+
+def test_html_of_any_depth_in_linear_time():
+    import time
+
+    start = time.perf_counter()
+    assert len(html_text.main_blocks("<div>" * 30000 + "text " * 5 + "<p>x</b>" * 30000)) == 30001
+    assert len(html_text.main_blocks("<ul>" + "<div>" * 20000 + "<li>x" * 20000 + "<b>" * 20000 + "<h1>t</h1>" * 20000)) == 40000
+    assert time.perf_counter() - start < 60

@@ -2,23 +2,32 @@
 
 The standard library's parser streams events; block elements make the lines of a page.
 Each line's ratio of characters to tags is smoothed with a Gaussian over its neighbours,
-and two-means clustering of the logarithms gives the threshold above which a line belongs
-to a dense region. Lines in elements that hold no article text by their kind (menus, forms,
-scripts ...), role or naming have ratio 0; a form that holds an article, a main element or nearly
-all text of its page is no such element. The content regions are then all article and main
-elements if one has dense text, else the smallest element that holds all of it; all lines
-of these regions that are not boilerplate are kept, so short paragraphs stay.
+and two-means clustering of the logarithms gives the threshold above which a line is dense;
+``DENSE`` characters a tag are dense on any page. Lines in elements that hold no article
+text by their kind (menus, forms, footers ...), role or naming have ratio 0, and so have
+those outside the article and main elements of a page on which these are dense; a form that
+holds an article, a main element or nearly all text of its page is no such element.
+
+The content regions are the elements that win most: an element counts the distances of its
+lines' levels from the threshold, dense ones up and sparse ones down, less a fixed price
+for being a region of its own; paragraphs, lists and tables are parts of one. So a region holds the short paragraphs between its dense
+ones, and link lists beside it stay out; a page without a region that wins is one region.
+Of a region's lines those of ratio 0 are left out, as they are below the threshold.
+
+Time is linear in a page's size: an element knows what the elements around it mean for it.
 
 Defined results: null and empty pages have an empty text; markup that never closes is read
 to its end, and a head ends where content begins; a page with text outside any element is
-one region; pages that repeat an id are rows of their own; an empty table gives an empty table; other columns are carried along and
-one named like an added one is replaced.
+one region; pages that repeat an id are rows of their own; an empty table gives an empty
+table; other columns are carried along and one named like an added one is replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -27,6 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import map_arrow, table
 
 SIGMA = 1.0
+#: Characters a tag, smoothed, that are dense on any page.
+DENSE = 25
 #: Share of a page's text that a form must hold to stay.
 SHARE = 0.9
 
@@ -36,10 +47,9 @@ _BLOCKS = frozenset(
     "tfoot th thead title tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NEVER = frozenset(
-    "applet aside audio button canvas datalist dialog embed footer head iframe input menu nav noscript object option script select style "
-    "svg template textarea title video".split()
-)
+#: Elements whose text is no text of the page, and elements that hold no article text.
+_UNSEEN = frozenset("applet audio canvas datalist embed head iframe input object option script select style svg template textarea title video".split())
+_BESIDE = frozenset("aside button dialog footer menu nav noscript".split())
 #: What may stand in a head; any other element or text ends it.
 _HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -54,22 +64,32 @@ _EXEMPT = frozenset(("html", "body", "main"))
 #: What an opening tag closes if it is open: (openers, closed).
 _IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _FENCES = frozenset(("article", "table", "ul", "ol", "dl", "section", "main", "body", "td", "th", "div"))
+_WALLS = _FENCES - {"td", "th", "div"}
+#: What is never a region of its own: parts of a text.
+_PARTS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 hgroup ul ol dl li dt dd table caption thead tbody tfoot tr td th figure figcaption hr br".split())
+_ITEMS = frozenset(("li", "dt", "dd", "tr", "td", "th", "option"))
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "dropped", "silent", "depth")
-
-    def __init__(self, tag: str, parent: _Element | None, dropped: bool, silent: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
-        #: within a dropped element that stands inside a line: its text is no line of its own
-        self.silent = silent
-        self.depth = parent.depth + 1 if parent else 0
-
-    def up(self):
-        at: _Element | None = self
-        while at is not None:
-            yield at
-            at = at.parent
+    """An open or closed element, with what its ancestors mean for it."""
+
+    __slots__ = ("tag", "parent", "block", "unseen", "beside", "silent", "paragraph", "items", "content", "own", "chars", "frame")
+
+    def __init__(self, tag: str, parent: _Element | None, unseen: bool = False, beside: bool = False):
+        self.tag, self.parent = tag, parent
+        self.unseen = unseen or (parent is not None and parent.unseen)
+        self.beside = beside or (parent is not None and parent.beside)
+        #: within an element without text of the page that stands inside a line: its text is no line of its own
+        self.silent = parent is not None and (parent.silent or (tag not in _BLOCKS and (self.unseen or self.beside) and not (parent.unseen or parent.beside)))
+        self.block = self if tag in _BLOCKS or parent is None else parent.block
+        #: whether a paragraph is open within the nearest fence, and which items within the nearest wall
+        self.paragraph = tag == "p" or (tag not in _FENCES and parent is not None and parent.paragraph)
+        held = parent.items if parent is not None and tag not in _WALLS else frozenset()
+        self.items = held | {tag} if tag in _ITEMS else held
+        self.content = tag in ("article", "main") or (parent is not None and parent.content)
+        self.own: list[int] = []
+        self.chars = 0
+        self.frame = tag in ("article", "main")
 
 
 class Lines(HTMLParser):
@@ -77,25 +97,52 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.at = _Element("#page", None, False)
-        self.lines: list[tuple[str, int, _Element, bool]] = []
+        self.at = _Element("#page", None)
+        self.elements = [self.at]
+        #: (text, tags, whether it has ratio 0), in page order; elements know the numbers of their own
+        self.lines: list[tuple[str, int, bool]] = []
+        self._open = [Counter()]
+        self._head: _Element | None = None
         self._text: list[str] = []
         self._tags = 0
 
     def _flush(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
-            if text:
-                block = next(e for e in self.at.up() if e.tag in _BLOCKS or e.parent is None)
-                self.lines.append((text, self._tags, block, self.at.dropped))
+            if text and not self.at.unseen:
+                self.at.block.own.append(len(self.lines))
+                self.lines.append((text, self._tags, self.at.beside))
             self._text = []
         self._tags = 0
 
+    def _push(self, element: _Element) -> None:
+        self.at = element
+        self.elements.append(element)
+        self._open[-1][element.tag] += 1
+        if element.tag in ("article", "body"):
+            self._open.append(Counter())
+        if element.tag == "head":
+            self._head = element
+
     def _close(self, element: _Element) -> None:
-        self.at = element.parent
+        while True:
+            gone, self.at = self.at, self.at.parent
+            if gone.tag in ("article", "body"):
+                self._open.pop()
+            self._open[-1][gone.tag] -= 1
+            if gone is self._head:
+                self._head = None
+            if gone is element:
+                return
+
+    def _up(self) -> Iterator[_Element]:
+        at: _Element | None = self.at
+        while at is not None:
+            yield at
+            at = at.parent
 
     def _end_head(self) -> None:
-        for e in self.at.up():
+        for e in self._up() if self._head is not None else ():
             if e.tag == "head":
                 self._flush()
                 self._close(e)
@@ -110,27 +157,20 @@ class Lines(HTMLParser):
         if tag in _BLOCKS:
             self._flush()
             self._tags = 1
-            for e in self.at.up():  # a block ends an open paragraph
-                if e.tag == "p":
-                    self._close(e)
-                    break
-                if e.tag in _FENCES:
+            if self.at.paragraph:  # a block ends an open paragraph
+                self._close(next(e for e in self._up() if e.tag == "p"))
+            closes = _IMPLIED.get(tag, ())
+            while not self.at.items.isdisjoint(closes):
+                found = next(e for e in self._up() if e.tag in closes)
+                self._close(found)
+                if tag != "tr" or found.tag == "tr":
                     break
-            if tag in _IMPLIED:
-                for e in self.at.up():
-                    if e.tag in _IMPLIED[tag]:
-                        self._close(e)
-                        if tag != "tr" or e.tag == "tr":
-                            break
-                    elif e.tag in _FENCES and e.tag not in ("td", "th", "div"):
-                        break
         if tag == "br":
             self._text.append("\n")
         if tag in _VOID:
             return
-        dropped = self.at.dropped or self._boilerplate(tag, attrs)
-        silent = self.at.silent or (dropped and not self.at.dropped and tag not in _BLOCKS)
-        self.at = _Element(tag, self.at, dropped, silent)
+        unseen = tag in _UNSEEN or any(n == "hidden" or n == "aria-hidden" and v == "true" or n == "style" and v and "display:none" in v.replace(" ", "").lower() for n, v in attrs)
+        self._push(_Element(tag, self.at, unseen and tag not in _EXEMPT, self._boilerplate(tag, attrs)))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -138,35 +178,24 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def _boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in _NEVER:
-            return True
-        if tag == "header" and not any(e.tag in ("article", "main") for e in self.at.up()):
+        if tag in _BESIDE or tag == "header" and not self.at.content:
             return True
         if tag in _EXEMPT:
             return False
         for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
             if not value:
                 continue
             if name in ("class", "id", "role") and not _NAMES.isdisjoint(re.split(r"[^a-z]+", value.lower())):
                 return True
-            if name == "style" and "display:none" in value.replace(" ", "").lower():
-                return True
         return False
 
     def handle_endtag(self, tag: str) -> None:
         self._tags += 1
-        for e in self.at.up():
-            if e.tag == tag:
-                if tag in _BLOCKS:
-                    self._flush()
-                self._close(e)
-                return
-            if e.tag in ("article", "body") and tag not in ("html", "body"):
-                break
+        there = self._open[-1][tag] > 0 or tag in ("article", "body") and len(self._open) > 1 and self._open[-2][tag] > 0 or tag == "html" and self._open[0][tag] > 0
         if tag in _BLOCKS:
             self._flush()
+        if there:
+            self._close(next(e for e in self._up() if e.tag == tag))
 
     def handle_data(self, data: str) -> None:
         if self.at.tag == "head" and data.strip():
@@ -180,28 +209,26 @@ class Lines(HTMLParser):
         self._drop_forms()
 
     def _drop_forms(self) -> None:
-        """Lines of forms are dropped, but for forms that are the page's frame."""
-        held: dict[_Element, int] = {}
-        kept: set[_Element] = set()
-        whole = inside = 0
-        for text, _, block, dropped in self.lines:
-            if dropped:
-                continue
-            whole += len(text)
-            content = False
-            around = []
-            for e in block.up():
-                content = content or e.tag in ("article", "main")
-                if e.tag == "form":
-                    around.append(e)
-                    held[e] = held.get(e, 0) + len(text)
-                    if content:
-                        kept.add(e)
-            inside += len(text) * bool(around)
-        kept |= {e for e, n in held.items() if n >= SHARE * whole}
-        if not held or not kept and inside >= SHARE * whole:
+        """Lines of forms have ratio 0, but for forms that are the page's frame."""
+        if not any(e.tag == "form" for e in self.elements):
             return
-        self.lines = [(text, tags, block, dropped or any(e.tag == "form" and e not in kept for e in block.up())) for text, tags, block, dropped in self.lines]
+        for e in reversed(self.elements):  # children come after their parents
+            e.chars += sum(len(self.lines[i][0]) for i in e.own if not self.lines[i][2])
+            if e.parent is not None:
+                e.parent.chars += e.chars
+                e.parent.frame = e.parent.frame or e.frame
+        whole = SHARE * self.elements[0].chars
+        forms = [e for e in self.elements if e.tag == "form"]
+        framed = any(e.frame or e.content or e.chars >= whole for e in forms)
+        inside: set[_Element] = set()
+        for e in self.elements:
+            if e.parent in inside or e.tag == "form" and not (e.frame or e.content or e.chars >= whole):
+                inside.add(e)
+        held = [i for e in inside for i in e.own]
+        if not framed and sum(len(self.lines[i][0]) for i in held if not self.lines[i][2]) >= whole:
+            return
+        for i in held:
+            self.lines[i] = (*self.lines[i][:2], True)
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -234,29 +261,54 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def regions(elements: list[_Element], scores: list[float], price: float) -> list[bool]:
+    """Which lines stand in a content region: the elements of the greatest sum of scores less the price of each."""
+    take, best, chosen = {}, {}, set()
+    apart: dict[_Element, list[_Element]] = {}
+    for e in elements[1:]:
+        apart.setdefault(e.parent, []).append(e)
+    for e in reversed(elements):
+        inner = apart.get(e, ())
+        take[e] = sum(scores[i] for i in e.own) + sum(take[c] for c in inner)
+        best[e] = sum(best[c] for c in inner)
+        if e.tag not in _PARTS and take[e] - price > 0 and take[e] - price >= best[e]:
+            best[e] = take[e] - price
+            chosen.add(e)
+    within = [False] * len(scores)
+    inside: set[_Element] = set()
+    for e in elements:
+        if e in chosen or e.parent in inside:
+            inside.add(e)
+        for i in e.own:
+            within[i] = e in inside
+    return within if any(within) else [True] * len(scores)
+
+
+def densities(lines: list[tuple[str, int, bool]]) -> tuple[list[float], float]:
+    """Logarithms of the lines' smoothed ratios, and the threshold between sparse and dense ones."""
+    smooth = smoothed([0.0 if beside else len(text) / max(1, tags) for text, tags, beside in lines])
+    levels = [0.0 if beside else math.log1p(r) for r, (_, _, beside) in zip(smooth, lines, strict=True)]
+    return levels, min(threshold(levels), math.log1p(DENSE))
+
+
 def main_blocks(html: str | None) -> list[str]:
     """The blocks of a page's main text, in page order."""
     parser = Lines()
     parser.feed(html or "")
     parser.close()
     lines = parser.lines
-    kept = [i for i, line in enumerate(lines) if not line[3]]
-    if not kept:
+    if all(beside for _, _, beside in lines):
         return []
-    ratios = [0.0 if dropped else len(text) / max(1, tags) for text, tags, _, dropped in lines]
-    levels = [math.log1p(r) for r in smoothed(ratios)]
-    cut = threshold([levels[i] for i in kept])
-    dense = [i for i in kept if levels[i] >= cut]
-    held: dict[_Element, int] = {}
-    for i in dense:
-        for e in lines[i][2].up():
-            held[e] = held.get(e, 0) + 1
-    if any(e.tag in ("article", "main") for e in held):
-        return [lines[i][0] for i in kept if any(e.tag in ("article", "main") for e in lines[i][2].up())]
-    region = max((e for e, n in held.items() if n == len(dense)), key=lambda e: e.depth)
-    while region.tag in ("p", "td", "tr", "tbody", "li", *_HEADINGS) and region.parent is not None:
-        region = region.parent  # a lone dense line: its neighbours belong to the text as well
-    return [lines[i][0] for i in kept if region in lines[i][2].up()]
+    levels, cut = densities(lines)
+    # a page whose articles are dense says itself what stands outside them
+    content = {i for e in parser.elements if e.content for i in e.own}
+    if any(levels[i] >= cut and not lines[i][2] for i in content):
+        lines = [(text, tags, beside or i not in content) for i, (text, tags, beside) in enumerate(lines)]
+        levels, cut = densities(lines)
+    # a line of ratio 0 says nothing about the element around it
+    scores = [0.0 if beside else level - cut for level, (_, _, beside) in zip(levels, lines, strict=True)]
+    within = regions(parser.elements, scores, cut / 2)
+    return [text for (text, _, beside), level, held in zip(lines, levels, within, strict=True) if held and not (beside and level < cut)]
 
 
 def main_text(html: str | None) -> str:
