@@ -239,6 +239,29 @@ def test_mix(spark):
     assert mixing.mix(docs).columns == docs.columns and mixing.mix(docs.limit(0)).count() == 0
 
 
+CLASHES = ("k_doc", "k_hash", "k_rows", "q_doc", "q_hash", "q_removed", "mix_source", "mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies", "mix_copy", "removed", "place", "h", "key", "kept", "text_hash", "a.b")
+
+
+def test_stages_of_odd_tables(spark, sf_dir):
+    """Nulls in any column, empty and repeated rows, no rows, and columns named as those of the operators."""
+    import corpus_pipeline
+
+    text = "\n".join(sentence(random.Random(k), 12) for k in range(4))
+    values = [(1, text, "s"), (1, text, "s"), (None, "some words that stand in no other document of this small table at all", None), (2, None, "s"), (3, "", None), (4, " \n\t", "z")]
+    odd = frame(spark, values)
+    for name in CLASHES:
+        odd = odd.withColumn(name, F.lit(7))
+    want = {"quality_rules": 3, "line_dedup": 6, "minhash_dedup": 5, "source_mix": None}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, odd, sf_dir)
+        assert found.columns == odd.columns, name
+        rows = found.collect()
+        assert all(r[c] == 7 for r in rows for c in CLASHES) and want[name] in (None, len(rows)), (name, len(rows))
+        assert stage(spark, odd.limit(0), sf_dir).count() == 0
+    coded = corpus_pipeline.STAGES[-1][1](spark, odd, sf_dir).collect()
+    assert len(coded) == len(values) and all(r.n_tokens >= 1 for r in coded)
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 

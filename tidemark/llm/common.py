@@ -26,6 +26,22 @@ def tuned(spark: SparkSession) -> SparkSession:
     return ship_package(spark)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each led by as many underscores as it takes to differ from the columns of ``df``."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

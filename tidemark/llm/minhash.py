@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import wordscan as scan
-from tidemark.llm.common import map_arrow, row_slices, table, tuned, utf8_parts
+from tidemark.llm.common import columns_of, map_arrow, row_slices, table, tuned, unused, utf8_parts
 from tidemark.llm.components import components
 from tidemark.llm.perfect_hash import mix64
 from tidemark.session import materialize
@@ -275,10 +275,18 @@ def _label(signed: DataFrame, labels: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates; the columns of ``docs``."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("k_doc"), F.col("text_hash").alias("k_hash")).distinct()
-    joined = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("k_doc")) & F.xxhash64("text").eqNullSafe(F.col("k_hash")))
-    return joined.select(*docs.columns)
+    """One document of each group of near duplicates; the columns of ``docs``.
+
+    Of rows that repeat id and text one stays.
+    """
+    doc, digest, rows = unused(docs, "k_doc", "k_hash", "k_rows")
+    kept = near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(digest)).agg(F.count(F.lit(1)).alias(rows))
+    kept = materialize(kept, "minhash-kept")
+    joined = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(doc)) & F.xxhash64("text").eqNullSafe(F.col(digest)))
+    if kept.where(F.col(rows) > 1).isEmpty():
+        return joined.select(*columns_of(docs))
+    again = joined.where(F.col(rows) > 1).dropDuplicates([doc, digest])
+    return joined.where(F.col(rows) == 1).union(again).select(*columns_of(docs))
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,8 @@ each document is emitted ``floor(rate)`` times plus once more with the remaining
 probability, drawn from a hash of the seed and its id. Reruns therefore agree.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in
-order; rows that repeat an id draw alike; an empty table gives an empty mix; further
-columns are carried along, and the columns this module adds win over input columns of
-the same name only in :func:`plan_mix`'s output (``mix_`` prefix), never in :func:`mix`.
+order; rows that repeat an id draw alike; an empty table gives an empty mix; columns of any
+name are carried along by :func:`mix`, while :func:`plan_mix` replaces those of ``PLANNED``.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import n_words, table
+from tidemark.llm.common import columns_of, n_words, table, unused
 from tidemark.session import materialize
 
 WEIGHTS = (1, 2, 3)
@@ -57,31 +56,42 @@ def draw(seed: int, key: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def plan_mix(docs: DataFrame, weights=WEIGHTS, cap: int = REPEAT_CAP, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``mix_size, mix_source_size, mix_target, mix_copies``.
+#: What is planned for a document: its size, its source's size and target, how often it is taken.
+PLANNED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+
+
+def _planned(docs: DataFrame, weights, cap: int, seed: int) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the columns of ``PLANNED`` under names that ``docs`` does not have.
 
     The table of sources is written out first: then the join with it is a broadcast only if
     its real size is below Spark's threshold, else a shuffled join that splits hot sources.
     """
     targets = materialize(source_targets(docs, n_words(F.col("text")), weights, cap), "mix-targets")
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    return (
-        docs.withColumn("mix_size", n_words(F.col("text")))
-        .join(targets, F.col("source").eqNullSafe(F.col("mix_source")))
-        .withColumn("mix_rate", rate)
-        .withColumn(
-            "mix_copies",
-            (F.floor("mix_rate") + (draw(seed, F.col("doc_id")) < F.col("mix_rate") - F.floor("mix_rate")).cast("long")).cast("long"),
-        )
-        .drop("mix_source", "mix_rate")
+    source, size, held, target, rate, copies = unused(docs, "mix_source", "mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
+    share = F.when(F.col(held) > 0, F.col(target) / F.col(held)).otherwise(F.lit(0.0))
+    found = (
+        docs.withColumn(size, n_words(F.col("text")))
+        .join(targets.toDF(source, held, target), F.col("source").eqNullSafe(F.col(source)))
+        .withColumn(rate, share)
+        .withColumn(copies, (F.floor(rate) + (draw(seed, F.col("doc_id")) < F.col(rate) - F.floor(rate)).cast("long")).cast("long"))
     )
+    return found, [size, held, target, copies]
+
+
+def plan_mix(docs: DataFrame, weights=WEIGHTS, cap: int = REPEAT_CAP, seed: int = SEED) -> DataFrame:
+    """``docs`` with ``mix_size, mix_source_size, mix_target, mix_copies``, in place of its columns of these names."""
+    found, names = _planned(docs, weights, cap, seed)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in PLANNED]
+    return found.select(*kept, *(F.col(n).alias(p) for n, p in zip(names, PLANNED, strict=True)))
 
 
-def mix(docs: DataFrame, **parameters) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, cap: int = REPEAT_CAP, seed: int = SEED) -> DataFrame:
     """The mixed corpus: every document as many times as it is taken, with the columns of ``docs``."""
-    planned = plan_mix(docs, **parameters).where(F.col("mix_copies") > 0)
-    repeated = planned.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return repeated.select(*docs.columns)
+    found, names = _planned(docs, weights, cap, seed)
+    copies = F.col(names[-1])
+    copy = unused(found, "mix_copy")[0]
+    repeated = found.where(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), copies)))
+    return repeated.select(*columns_of(docs))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import wordscan as scan
-from tidemark.llm.common import map_arrow, row_slices, table, utf8_parts
+from tidemark.llm.common import columns_of, map_arrow, row_slices, table, unused, utf8_parts
 from tidemark.session import materialize
 
 MAX_DOCS = 20
@@ -145,11 +145,12 @@ def verdicts(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
 
 def filter_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The documents kept, without their removed lines; the columns of ``docs``."""
-    found = verdicts(docs, **parameters).where("kept").select(F.col("doc_id").alias("q_doc"), F.col("text_hash").alias("q_hash"), F.col("removed").alias("q_removed")).distinct()
-    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("q_removed", i))
-    text = F.when(F.size("q_removed") == 0, F.col("text")).otherwise(F.array_join(lines, "\n"))
-    joined = docs.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("q_doc")) & F.xxhash64("text").eqNullSafe(F.col("q_hash")))
-    return joined.withColumn("text", text).select(*docs.columns)
+    doc, digest, gone = unused(docs, "q_doc", "q_hash", "q_removed")
+    found = verdicts(docs, **parameters).where("kept").select(F.col("doc_id").alias(doc), F.col("text_hash").alias(digest), F.col("removed").alias(gone)).distinct()
+    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i))
+    text = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(lines, "\n"))
+    joined = docs.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(doc)) & F.xxhash64("text").eqNullSafe(F.col(digest)))
+    return joined.withColumn("text", text).select(*columns_of(docs))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
