@@ -48,7 +48,7 @@ BITS = 4
 SIG = [f"s{i}" for i in range(HASHES * BITS // 64)]
 #: 0.75 less four and a half standard deviations of the estimate.
 LEAST_ESTIMATE = 0.57
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 #: One-bit minima that tell apart the members of buckets still open, and the least estimate by them.
 FINE_HASHES = 4096

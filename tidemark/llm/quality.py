@@ -31,7 +31,7 @@ MIN_WORDS = 10
 MIN_LEFT_PERCENT = 30
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = b"#*$%&|<>"
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 _LEAD = (np.arange(256) & 0xC0) != 0x80
