@@ -215,3 +215,18 @@ def test_html_of_any_depth_in_linear_time():
     assert len(html_text.main_blocks("<div>" * 30000 + "text " * 5 + "<p>x</b>" * 30000)) == 30001
     assert len(html_text.main_blocks("<ul>" + "<div>" * 20000 + "<li>x" * 20000 + "<b>" * 20000 + "<h1>t</h1>" * 20000)) == 40000
     assert time.perf_counter() - start < 60
+
+
+def test_units_are_forgotten_by_their_ids():
+    from tidemark.llm.units import UnitMemory
+
+    def encode(units):
+        return np.array([ord(c) for u in units for c in u], np.int64), np.array([len(u) for u in units], np.int64)
+
+    memory = UnitMemory(encode, limit=10**6, limit_ids=1000)
+    for k in range(50):
+        keys = ["ab", chr(1000 + k) * 90, "ab", "ab"]
+        ids, offsets = memory.rows([keys, []], 7)
+        assert ids.tolist() == [ord(c) for u in keys for c in u] + [7, 7] and offsets.tolist() == [0, 97, 98]
+        assert memory.used < 1200
+    assert "ab" in memory.numbers

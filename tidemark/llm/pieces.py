@@ -59,6 +59,8 @@ class Pieces:
 
     #: Distinct units that a worker remembers before it drops those seen less than three times.
     MEMORY = 300_000
+    #: Ids of all of them together; long units, as text without spaces has, reach this bound first.
+    MEMORY_IDS = 6_000_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -129,7 +131,7 @@ class Pieces:
         """Keep the units that were seen often enough; all of them, were most of them so, would not do."""
         n = len(self.units)
         keep = np.flatnonzero(self.seen[:n] >= 3)
-        if len(keep) > self.MEMORY // 2:
+        if len(keep) > self.MEMORY // 2 or self.length[keep].sum() > self.MEMORY_IDS // 2:
             return self._forget()
         names = list(self.units)
         ids, lengths = self.store[ragged(self.at[keep], self.length[keep])], self.length[keep]
@@ -284,7 +286,7 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and offsets of all texts, with the end id last in each."""
-        if len(self.units) > self.MEMORY:
+        if len(self.units) > self.MEMORY or self.used > self.MEMORY_IDS:
             self._trim()
         known, number, row = len(self.units), self.units.__getitem__, []
         sizes = np.zeros(len(texts), np.int64)

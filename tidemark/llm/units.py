@@ -25,11 +25,12 @@ class UnitMemory:
     """Encodes units once and gathers the ids of rows of units.
 
     ``encode`` gives the flat ids and the lengths of a list of units. Once ``limit`` units
-    are known, those seen less than three times are dropped, so memory stays bounded.
+    or ``limit_ids`` ids of them are known, those seen less than three times are dropped, so
+    memory stays bounded whether units are many or long.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000, limit_ids: int = 8_000_000):
+        self.encode, self.limit, self.limit_ids = encode, limit, limit_ids
         self._forget()
 
     def _forget(self) -> None:
@@ -41,7 +42,7 @@ class UnitMemory:
     def _trim(self) -> None:
         n = len(self.numbers)
         keep = np.flatnonzero(self.seen[:n] >= 3)
-        if len(keep) > self.limit // 2:
+        if len(keep) > self.limit // 2 or self.length[keep].sum() > self.limit_ids // 2:
             return self._forget()
         names = list(self.numbers)
         ids, lengths = self.store[ragged(self.at[keep], self.length[keep])], self.length[keep]
@@ -66,7 +67,7 @@ class UnitMemory:
 
     def rows(self, keys_of_rows: list[list[str]], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and offsets of rows of units, with the id ``end`` last in each row."""
-        if len(self.numbers) > self.limit:
+        if len(self.numbers) > self.limit or self.used > self.limit_ids:
             self._trim()
         known, number, row = len(self.numbers), self.numbers.__getitem__, []
         sizes = np.zeros(len(keys_of_rows), np.int64)
