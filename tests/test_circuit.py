@@ -218,3 +218,17 @@ def test_top(spark):
     c = one_view(spark, lambda s: s.group_by(["k"], agg.top("v", 2, "t")), KV)
     c.push("s0", kv(spark, {("a", 1): 1, ("a", 5): 2, ("a", 9): -1}))
     assert [r.t for r in c.snapshot("out").collect()] == [[5, 5]]
+
+
+def test_an_operator_of_ones_own(spark):
+    """Rows of the first input whose key the second lacks, from changes and sums."""
+
+    def without(a, b):
+        return z.semi(z.consolidate(a), z.consolidate(b).where(F.col("_w") > 0), ["k"], "left_anti")
+
+    rule = lambda at: z.subtract(without(at.new(0), at.new(1)), without(at.old(0), at.old(1)))
+    c = one_view(spark, lambda a, b: a.operator(rule, b, op=without), KV, KV)
+    for a, b, want in [({("x", 1): 1, ("y", 2): 2}, {("y", 9): 1}, {("x", 1): 1}), ({}, {("y", 9): -1, ("x", 0): 1}, {("x", 1): -1, ("y", 2): 2})]:
+        c.push("s0", kv(spark, a))
+        c.push("s1", kv(spark, b))
+        assert z.to_rows(c.delta("out")) == want

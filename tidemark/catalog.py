@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import aggregates as agg
 from tidemark.operators import streams
 from tidemark.operators import zset as z
-from tidemark.operators.zset import EPOCH, W
+from tidemark.operators.zset import EPOCH, ITER, W
 from tidemark.plans.circuit import Circuit, Node
 from tidemark.plans.state import ParquetStore
 from tidemark.recursion.datalog import Datalog, stratify
@@ -329,6 +329,52 @@ def z_fold_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _epochs(streams.fold(_daily(spark, sf_dir)[0], ["event_type"], W, F.max))
 
 
+_HOURLY = f"WITH h AS (SELECT event_type, {_DAY} AS epoch, CAST(extract('hour' FROM ts) AS BIGINT) AS step, count(*) AS w FROM events GROUP BY 1, 2, 3)\n"
+
+
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of streams: days, and the hours of each as the inner axis."""
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01")).cast("long").alias(EPOCH)
+    events = _table(spark, sf_dir, "events").select("event_type", day, F.hour("ts").cast("long").alias(ITER))
+    return streams.settle(z.weighted(events))
+
+
+def _cells(s: DataFrame) -> DataFrame:
+    return s.select("event_type", F.col(EPOCH).alias("epoch"), F.col(ITER).cast("long").alias("step"), F.col(W).alias("w"))
+
+
+@query("z_inner_delay", _HOURLY + "SELECT event_type, epoch, step + 1 AS step, w FROM h")
+def z_inner_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(streams.delay(_hourly(spark, sf_dir), ITER))
+
+
+@query("z_inner_integrate", _HOURLY + "SELECT event_type, epoch, t.step, CAST(sum(w) AS BIGINT) AS w FROM h JOIN (SELECT unnest(range(24)) AS step) t ON h.step <= t.step GROUP BY 1, 2, 3")
+def z_inner_integrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(streams.integrate(_hourly(spark, sf_dir), 23, ITER))
+
+
+@query("z_inner_differentiate", _HOURLY + "SELECT event_type, epoch, step, CAST(sum(w) AS BIGINT) AS w FROM (SELECT * FROM h UNION ALL SELECT event_type, epoch, step + 1, -w FROM h) GROUP BY 1, 2, 3 HAVING sum(w) <> 0")
+def z_inner_differentiate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(streams.differentiate(_hourly(spark, sf_dir), axis=ITER))
+
+
+@query("z_inner_introduce", _HOURLY + "SELECT event_type, epoch, CAST(0 AS BIGINT) AS step, CAST(sum(w) AS BIGINT) AS w FROM h GROUP BY 1, 2")
+def z_inner_introduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inner axis summed up, and introduced again: a value at its first moment alone."""
+    return _cells(streams.introduce(streams.eliminate(_hourly(spark, sf_dir), ITER), ITER))
+
+
+@query("z_scalar", f"SELECT coalesce(max(CAST(round(o_totalprice * 100) AS BIGINT)), 0) AS top, (SELECT coalesce(max(o_orderkey), -1) FROM orders WHERE o_orderkey < 0) AS none FROM orders WHERE o_orderkey % 10 <> 0")
+def z_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _orders(spark, sf_dir)
+    circuit = Circuit(spark)
+    source = circuit.source("orders", orders["orders"].drop(EPOCH, W).schema)
+    source.group_by([], agg.greatest("cents", "top")).view("top")
+    source.where(F.col("o_orderkey") < 0).group_by([], agg.greatest("o_orderkey", "none")).view("none")
+    _fed(circuit, orders)
+    return z.scalar(circuit.latest("top"), "top").crossJoin(z.scalar(circuit.latest("none"), "none", -1))
+
+
 # -- graphs -----------------------------------------------------------------------------
 
 #: An edge per line item.

@@ -87,6 +87,12 @@ def weight_of(z: DataFrame, **row) -> int:
     return z.where(cond).agg(F.sum(W)).first()[0] or 0
 
 
+def scalar(z: DataFrame, column: str, default: object = 0) -> DataFrame:
+    """One row with the value of a relation of one row at most, ``default`` if it is empty; of several, the least."""
+    value = F.min(F.when(F.col(W) > 0, F.col(column)))
+    return z.agg(F.coalesce(value, F.lit(default)).alias(column))
+
+
 def index(z: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Rows clustered and sorted by key, so that joins and groupings on it need no further shuffle."""
     columns = [F.col(k) for k in keys]

@@ -81,6 +81,17 @@ class Node:
         """Any function of several Z-sets, run on their whole sums, old and new."""
         return self.circuit._add("combine", (self, *others), _whole(fn), op=fn)
 
+    def operator(self, rule: Callable[[Epoch], DataFrame], *others: Node, op: Callable[..., DataFrame] | None = None) -> Node:
+        """An operator of one's own: ``rule`` gives its change of an epoch from the inputs' changes
+        and their sums before and after (:class:`Epoch`). ``op`` is its batch form, if it has one.
+        """
+
+        def run(at: Epoch) -> DataFrame:
+            return rule(at)
+
+        run.reads_sums = True
+        return self.circuit._add("operator", (self, *others), run, **({} if op is None else {"op": op}))
+
     # -- bilinear -------------------------------------------------------------------
 
     def join(self, other: Node, on: Sequence[str | tuple[str, str]], columns=None, null_safe: bool = False, keep: Column | None = None) -> Node:
