@@ -230,3 +230,39 @@ def test_units_are_forgotten_by_their_ids():
         assert ids.tolist() == [ord(c) for u in keys for c in u] + [7, 7] and offsets.tolist() == [0, 97, 98]
         assert memory.used < 1200
     assert "ab" in memory.numbers
+
+
+def test_language_kernel_by_brute_force():
+    texts = ["Ein kurzer Satz, 12 Worte.", "another sentence of words", "x", "lang und länger " * 900, "é1é"]
+
+    def grams(window, n):
+        return {window[i : i + n] for i in range(len(window) - n + 1)}
+
+    marks = [language.windows(t)[0] for t in texts]
+    present = language.presence(marks)
+    got = language.text_kernel(texts, present, language._scales(present))
+    for i, text in enumerate(texts):
+        cut = language.windows(text)
+        assert all(len(w) <= language.WINDOW + 3 for w in cut) and b"".join(w[3 if k else 0 :] for k, w in enumerate(cut)).decode().split() == "".join(c.lower() if c.isalpha() else " " for c in text).split()
+        for j, mark in enumerate(marks):
+            want = 0.0
+            for w in cut:
+                for n in language.ORDERS:
+                    a, b = grams(w, n), grams(mark, n)
+                    want += len(a & b) / max(1, len(a)) ** 0.5 / max(1, len(b)) ** 0.5 / len(language.ORDERS) / len(cut)
+            assert abs(got[i, j] - want) < 0.03  # n-grams that share a slot
+
+
+def test_language_of_texts_of_any_length():
+    import random
+
+    rng = random.Random(2)
+    words = {k: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(400)] for k, letters in {"aa": "abcdeilmno", "bb": "aghknrstuw", "cc": "äöübdefigl"}.items()}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    model = language.fit([text(k, rng.randint(5, 300)) for k in words for _ in range(40)], [k for k in words for _ in range(40)])
+    scorer, scores = language.Scorer(model), {}
+    for n in (5, 50, 500, 20000):
+        names, found = scorer.predict([text(k, n) for k in words])
+        assert names == list(words)
+        scores[n] = min(found)
+    assert scores[20000] > 0.9 * scores[500] and scores[500] > 0.7

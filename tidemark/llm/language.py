@@ -2,11 +2,14 @@
 
 The kernel of two texts is the blended spectrum over byte n-grams of ``ORDERS``: per order
 the number of n-grams present in both, over the root of the product of the numbers present
-in each, averaged over the orders. N-grams are hashed into ``SLOTS`` slots an order. The
-feature map of a text is its kernel with ``LANDMARKS`` landmark texts, whitened by the
-landmarks' own kernel (Nyström); one-versus-rest kernel ridge regression is a linear ridge
-in that space. Scoring multiplies a batch's presence matrix with the landmarks' and the
-result with the weights.
+in each, averaged over the orders. It compares windows of at most ``WINDOW`` bytes, into
+which a text is cut evenly, and a text's kernel is the mean of its windows', so that
+presence says as much of a long text as of a short one. N-grams are hashed into ``SLOTS``
+slots an order, of which no window can fill more than it has bytes. The feature map of a
+text is its kernel with ``LANDMARKS`` landmark windows, whitened by the landmarks' own
+kernel (Nyström); one-versus-rest kernel ridge regression is a linear ridge in that space.
+Scoring multiplies a batch's presence matrix with the landmarks' and the result with the
+weights.
 
 The model is fitted on a bounded sample: the ``PER_LANGUAGE`` labelled training rows of
 each language that come first by a hash of their ids; more than ``MAX_LANGUAGES``
@@ -34,6 +37,7 @@ from tidemark.llm.perfect_hash import mix64
 
 ORDERS = (1, 2, 3, 4)
 SLOTS = 4096
+WINDOW = 3072
 LANDMARKS = 160
 PER_LANGUAGE = 400
 MAX_LANGUAGES = 200
@@ -42,7 +46,8 @@ MAX_LANGUAGES = 200
 SAMPLE_CHARS = 16_000_000
 RIDGE = 1e-2
 UNKNOWN = "und"
-_SLICE = 1 << 20
+#: Windows whose presence is held at a time.
+_ROWS = 256
 _LETTER = re.compile(r"[^\W\d_]")
 _SALT = mix64(np.arange(101, 101 + 8, dtype=np.uint64))
 
@@ -54,27 +59,26 @@ class Model(NamedTuple):
     weights: np.ndarray  #: landmarks x languages
 
 
-def presence(texts: list[str]) -> np.ndarray:
-    """Which hashed n-grams each text has: texts x (orders x slots), 0 or 1."""
-    out = np.zeros((len(texts), len(ORDERS) * SLOTS), np.float32)
-    folded = [re.sub(r"[\W\d_]+", " ", t).lower().encode("utf-8", "surrogatepass") for t in texts]
-    start = 0
-    while start < len(folded):
-        end, size = start, 0
-        while end < len(folded) and (end == start or size + len(folded[end]) <= _SLICE):
-            size += len(folded[end]) + 2
-            end += 1
-        rows = folded[start:end]
-        data = np.frombuffer(b"".join(b" " + r + b" " for r in rows), np.uint8).astype(np.uint64)
-        row = np.repeat(np.arange(start, end), [len(r) + 2 for r in rows])
-        code = np.zeros(len(data), np.uint64)
-        for k, n in enumerate(ORDERS):
-            # bytes i .. i+n-1 as one number; stretches that leave the text are dropped
-            code = data.copy() if n == 1 else (code[:-1] << np.uint64(8)) | data[n - 1 :]
-            inside = row[: len(code)] == row[n - 1 :]
-            slot = code if n == 1 else (code * np.uint64(0x9E3779B97F4A7C15) + _SALT[k]) >> np.uint64(64 - SLOTS.bit_length() + 1)
-            out[row[: len(code)][inside], k * SLOTS + slot[inside].astype(np.int64)] = 1
-        start = end
+def windows(text: str) -> list[bytes]:
+    """A text's letters in lower case, all else one space, as UTF-8 in even windows, which share the bytes of an n-gram at a cut."""
+    data = b" %b " % re.sub(r"[\W\d_]+", " ", text).lower().encode("utf-8", "surrogatepass").strip()
+    parts = -(-len(data) // WINDOW)
+    cuts = [len(data) * k // parts for k in range(parts + 1)]
+    return [data[max(0, a - max(ORDERS) + 1) : b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def presence(rows: list[bytes]) -> np.ndarray:
+    """Which hashed n-grams each window has: windows x (orders x slots), 0 or 1."""
+    out = np.zeros((len(rows), len(ORDERS) * SLOTS), np.float32)
+    data = np.frombuffer(b"".join(rows), np.uint8).astype(np.uint64)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    code = np.zeros(len(data), np.uint64)
+    for k, n in enumerate(ORDERS):
+        # bytes i .. i+n-1 as one number; stretches that leave the window are dropped
+        code = data.copy() if n == 1 else (code[:-1] << np.uint64(8)) | data[n - 1 :]
+        inside = row[: len(code)] == row[n - 1 :]
+        slot = code if n == 1 else (code * np.uint64(0x9E3779B97F4A7C15) + _SALT[k]) >> np.uint64(64 - SLOTS.bit_length() + 1)
+        out[row[: len(code)][inside], k * SLOTS + slot[inside].astype(np.int64)] = 1
     return out
 
 
@@ -92,6 +96,29 @@ def kernel(present: np.ndarray, landmarks: np.ndarray, scales: np.ndarray) -> np
     return total / len(ORDERS)
 
 
+def text_kernel(texts: list[str], landmarks: np.ndarray, scales: np.ndarray) -> np.ndarray:
+    """Kernel values of whole texts with landmarks: the means of their windows'."""
+    total, count = np.zeros((len(texts), len(landmarks)), np.float32), np.zeros(len(texts), np.float32)
+    held: list[bytes] = []
+    owner: list[int] = []
+
+    def add() -> None:
+        np.add.at(total, owner, kernel(presence(held), landmarks, scales))
+        np.add.at(count, owner, 1)
+        held.clear()
+        owner.clear()
+
+    for i, text in enumerate(texts):
+        for window in windows(text):
+            held.append(window)
+            owner.append(i)
+            if len(held) == _ROWS:
+                add()
+    if held:
+        add()
+    return total / count[:, None]
+
+
 def fit(texts: list[str], languages: list[str]) -> Model:
     """Kernel ridge regression on labelled texts, with landmarks spread over the languages."""
     names = sorted(set(languages))
@@ -100,10 +127,10 @@ def fit(texts: list[str], languages: list[str]) -> Model:
     for k in range(len(names)):
         nth[label == k] = np.arange((label == k).sum())
     chosen = np.lexsort((label, nth))[:LANDMARKS]
-    present = presence([texts[i] for i in chosen])
+    present = presence([(w := windows(texts[i]))[len(w) // 2] for i in chosen])
     scales = _scales(present)
     own = kernel(present, present, scales).astype(np.float64)
-    features = np.concatenate([kernel(presence(texts[a : a + 256]), present, scales) for a in range(0, len(texts), 256)]).astype(np.float64)
+    features = text_kernel(texts, present, scales).astype(np.float64)
     values, vectors = np.linalg.eigh(own)
     good = values > values.max() * 1e-6
     white = vectors[:, good] / np.sqrt(values[good])
@@ -126,11 +153,10 @@ class Scorer:
         worded = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
         if not self.model.languages:
             return names, scores
-        for a in range(0, len(worded), 128):
-            part = worded[a : a + 128]
-            values = kernel(presence([texts[i] for i in part]), self.landmarks, self.model.scales) @ self.model.weights
+        if worded:
+            values = text_kernel([texts[i] for i in worded], self.landmarks, self.model.scales) @ self.model.weights
             best = values.argmax(axis=1)
-            for i, k, v in zip(part, best.tolist(), values[np.arange(len(part)), best].tolist(), strict=True):
+            for i, k, v in zip(worded, best.tolist(), values[np.arange(len(worded)), best].tolist(), strict=True):
                 names[i], scores[i] = self.model.languages[k], min(1.0, max(0.0, (v + 1) / 2))
         return names, scores
 
