@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import zset as z
 from tidemark.recursion import rdfs
-from tidemark.recursion.datalog import Datalog, Rule, guarded, stratify
+from tidemark.recursion.datalog import Datalog, Rule, guarded, stratify, untag
 from tidemark.recursion.fixpoint import NotConverged, Reachability, reach
 
 E = "src long, dst long"
@@ -141,6 +143,61 @@ def test_one_at_a_time_equals_all_at_once(spark, order):
     assert d.unified().count() == len(whole.rows())
 
 
+PROGRAM = [
+    *TC,
+    (("far", ("?X", "?Y")), ("node", ("?X",)), ("node", ("?Y",)), ("!tc", ("?X", "?Y"))),
+    (("sink", ("?X",)), ("node", ("?X",)), ("!e", ("?X", "?Y"))),
+    (("tc", ("?X", "?X")), ("mark", ("?X",)), ("!off", ())),
+    (("mark", ("?X",)), ("mark", ("?X",)), ("node", ("?X",))),
+    (("back", ("?X",)), ("far", ("?X", "?Y")), ("tc", ("?Y", "?X")), ("!sink", ("?Y",))),
+    (("quiet", ()), ("!off", ())),
+    (("even", ("?X",)), ("back", ("?X",))),
+    (("back", ("?X",)), ("even", ("?X",)), ("mark", ("?X",))),
+]
+
+
+@pytest.mark.parametrize("seed", [2, 5])
+def test_changes_equal_a_new_start(spark, seed):
+    """Facts and rules come and go; model and summed changes equal those of a session from scratch."""
+    rng = random.Random(seed)
+    pool = [("e", (a, b)) for a in range(5) for b in range(5)] + [("node", (k,)) for k in range(5)] + [("mark", (k,)) for k in range(3)] + [("tc", (9, 0)), ("off", ())]
+    d, rules, facts, total = Datalog(spark), {}, {}, {}
+    for step in range(3):
+        change = {f: rng.choice((1, 1, 2) if step == 0 else (1, -1, -2)) for f in rng.sample(pool, 12 if step == 0 else 5)}
+        turned = {r: 1 for r in PROGRAM} if step == 0 else {r: -1 if rules.get(r) else 1 for r in rng.sample(PROGRAM, 2)}
+        for held, more in ((facts, change), (rules, turned)):
+            for k, w in more.items():
+                held[k] = held.get(k, 0) + w
+        d.push_facts(change)
+        d.push_rules(turned)
+        d.saturate()
+        for p, f in d.delta.items():
+            for r in f.collect():
+                key = (p, tuple(untag(v) for c, v in r.asDict().items() if c not in ("_w", "_unit")))
+                total[key] = total.get(key, 0) + r["_w"]
+        new = session(spark, {r: w for r, w in rules.items() if w}, facts)
+        new.saturate()
+        assert d.rows() == new.rows()
+        assert {k: w for k, w in total.items() if w} == dict.fromkeys(new.rows(), 1)
+
+
+def test_rules_without_positive_atoms(spark):
+    d = session(spark, [(("calm", ("x",)), ("!off", ())), (("sure", (1,)),)], {("n", (1,)): 1})
+    assert derived(d, "calm") == {("x",)} and derived(d, "sure") == {(1,)}
+    d.push_facts({("off", ()): 1})
+    assert derived(d, "calm") == set() and derived(d, "sure") == {(1,)}
+    d.push_facts({("off", ()): -1})
+    assert derived(d, "calm") == {("x",)}
+
+
+def test_an_equal_atom_is_no_support(spark):
+    rules = [(("p", ("?X",)), ("q", ("?X",))), (("p", ("?X",)), ("p", ("?X",)), ("n", ("?X",)))]
+    d = session(spark, rules, {("q", (1,)): 1, ("n", (1,)): 1})
+    assert derived(d, "p") == {(1,)}
+    d.push_facts({("q", (1,)): -1})
+    assert derived(d, "p") == set()
+
+
 def test_levels_and_guards():
     rules = [*TC, (("far", ("?X",)), ("n", ("?X",)), ("!tc", ("?X", "?X"))), (("top", ("?X",)), ("n", ("?X",)), ("!far", ("?X",)))]
     assert stratify(map(Rule.parse, rules)) == {"e": 0, "n": 0, "tc": 0, "far": 1, "top": 2}
@@ -171,6 +228,26 @@ def test_rdfs(spark, tbox, abox, want):
     assert {tuple(r) for r in found.collect()} == {*tbox, *abox, *want}
 
 
+def test_rdfs_under_changes(spark):
+    """Each box gets and loses triples; the closure equals that of a new start, and the changes add up to it."""
+    kind = "s long, p long, o long"
+    tbox = {(20, SPO, 21): 1, (21, DOM, 10): 1, (10, SCO, 11): 1, (11, SCO, 10): 1, (21, RNG, 12): 1}
+    abox = {(1, 20, 2): 1, (2, 21, 3): 2, (4, TYPE, 10): 1, (1, TYPE, 10): 1}
+    steps = [(tbox, abox), ({(20, SPO, SCO): 1, (12, SCO, 13): 1}, {(12, 20, 14): 1}), ({(20, SPO, SCO): -1, (10, SCO, 11): -1}, {(1, 20, 2): -1, (2, 21, 3): -1, (1, TYPE, 10): -1})]
+    state, held, total = rdfs.Knowledge(spark), ({}, {}), {}
+    for step in steps:
+        for box, change in zip(held, step):
+            for t, w in (change or {}).items():
+                box[t] = box.get(t, 0) + w
+        got = state.push(*(None if c is None else z.from_rows(spark, c, kind) for c in step))
+        for t, w in z.to_rows(got).items():
+            total[t] = total.get(t, 0) + w
+        boxes = [spark.createDataFrame([t for t, w in box.items() if w > 0], kind) for box in held]
+        want = {tuple(r): 1 for r in rdfs.closure(*boxes)[0].collect()}
+        assert dict.fromkeys((tuple(r) for r in state.closure().collect()), 1) == want
+        assert {t: w for t, w in total.items() if w} == want
+
+
 def test_loaders(spark, tmp_path):
     from tidemark.sources import loaders
 

@@ -21,7 +21,7 @@ from tidemark.plans.state import ParquetStore
 from tidemark.recursion.datalog import Datalog, stratify
 from tidemark.recursion.datalog import Rule as DatalogRule
 from tidemark.recursion.fixpoint import Reachability, reach
-from tidemark.recursion.rdfs import Vocabulary, closure
+from tidemark.recursion.rdfs import Knowledge, Vocabulary, closure
 from tidemark.session import fresh_path, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -513,6 +513,33 @@ def d_fact_retract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(program, "tc", "x", "y")
 
 
+def _changed(spark: SparkSession, sf_dir: str, sign: int) -> DataFrame:
+    """The change of all paths as a part of the edges comes or goes."""
+    cells = [F.col("src").alias("c0"), F.col("dst").alias("c1")]
+    edges = _edges(spark, sf_dir)
+    part = edges.where("dst % 5 = 0").select(*cells)
+    program = _session(spark, sf_dir, TC, (lambda *_: edges.where("dst % 5 <> 0")) if sign > 0 else _edges)
+    program.saturate()
+    program.push_facts({"e": z.weighted(part, sign)})
+    program.saturate()
+    found = program.delta.get("tc")
+    return _shown((spark.createDataFrame([], "c0 long, c1 long, _w long") if found is None else found).withColumnsRenamed({"c0": "x", "c1": "y"}))
+
+
+_TC_CHANGE = f"WITH RECURSIVE e AS ({_EDGES}), f AS (SELECT * FROM e WHERE dst % 5 <> 0), r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src), " \
+    "q(src, dst) AS (SELECT src, dst FROM f UNION SELECT q.src, f.dst FROM q JOIN f ON q.dst = f.src) SELECT src AS x, dst AS y, CAST({} AS BIGINT) AS w FROM (SELECT * FROM r EXCEPT SELECT * FROM q)"
+
+
+@query("d_fact_insert_delta", _TC_CHANGE.format(1))
+def d_fact_insert_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(spark, sf_dir, 1)
+
+
+@query("d_fact_delete_delta", _TC_CHANGE.format(-1))
+def d_fact_delete_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(spark, sf_dir, -1)
+
+
 @query("d_late_blocker", f"WITH e AS ({_EDGES}) SELECT src AS x FROM e UNION SELECT dst FROM e EXCEPT SELECT src FROM e WHERE src % 2 = 0")
 def d_late_blocker(spark: SparkSession, sf_dir: str) -> DataFrame:
     program = _session(spark, sf_dir, [*NODES, (("open", ("?X",)), ("node", ("?X",)), ("!blocked", ("?X",)))])
@@ -532,18 +559,23 @@ def d_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- RDFS -------------------------------------------------------------------------------
 
 
-@query("rdfs_closure", """WITH RECURSIVE given(s, p, o) AS (
+_RDFS = """WITH RECURSIVE given(s, p, o) AS (
   SELECT 'n' || n_nationkey, 'sub', 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'sub', 'world' FROM region
   UNION ALL SELECT 'buys', 'subp', 'deals' UNION ALL SELECT 'deals', 'subp', 'knows' UNION ALL SELECT 'deals', 'domain', 'client' UNION ALL SELECT 'buys', 'range', 'ware'
   UNION ALL SELECT 'client', 'sub', 'agent' UNION ALL SELECT 'c' || c_custkey, 'type', 'n' || c_nationkey FROM customer
-  UNION ALL SELECT 'c' || o_custkey, 'buys', 'o' || o_orderkey FROM orders
+  UNION ALL SELECT 'c' || o_custkey, 'buys', 'o' || o_orderkey FROM orders {}
 ), sub(s, o) AS (SELECT s, o FROM given WHERE p = 'sub' UNION SELECT a.s, b.o FROM sub a JOIN given b ON b.p = 'sub' AND a.o = b.s),
 subp(s, o) AS (SELECT s, o FROM given WHERE p = 'subp' UNION SELECT a.s, b.o FROM subp a JOIN given b ON b.p = 'subp' AND a.o = b.s),
 facts AS (SELECT s, p, o FROM given WHERE p IN ('buys', 'deals', 'knows') UNION SELECT g.s, subp.o, g.o FROM given g JOIN subp ON g.p = subp.s),
 typed AS (SELECT s, o FROM given WHERE p = 'type' UNION SELECT f.s, d.o FROM facts f JOIN given d ON d.p = 'domain' AND d.s = f.p UNION SELECT f.o, d.o FROM facts f JOIN given d ON d.p = 'range' AND d.s = f.p)
 SELECT s, p, o FROM given UNION SELECT s, 'sub', o FROM sub UNION SELECT s, 'subp', o FROM subp UNION SELECT * FROM facts
-UNION SELECT s, 'type', o FROM typed UNION SELECT t.s, 'type', sub.o FROM typed t JOIN sub ON t.o = sub.s""")
-def rdfs_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+UNION SELECT s, 'type', o FROM typed UNION SELECT t.s, 'type', sub.o FROM typed t JOIN sub ON t.o = sub.s"""
+_TERMS = Vocabulary("sub", "subp", "domain", "range", "type")
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Schema triples, and those of customers and of orders."""
+
     def rows(df: DataFrame, s: Column, p: str, o: Column) -> DataFrame:
         return df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
 
@@ -552,8 +584,24 @@ def rdfs_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = [("buys", "subp", "deals"), ("deals", "subp", "knows"), ("deals", "domain", "client"), ("buys", "range", "ware"), ("client", "sub", "agent")]
     tbox = rows(nation, name("n", "n_nationkey"), "sub", name("r", "n_regionkey")).union(rows(region, name("r", "r_regionkey"), "sub", F.lit("world"))).union(spark.createDataFrame(fixed, "s string, p string, o string"))
     clients, deals = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders")
-    abox = rows(clients, name("c", "c_custkey"), "type", name("n", "c_nationkey")).union(rows(deals, name("c", "o_custkey"), "buys", name("o", "o_orderkey")))
-    return closure(tbox, abox, Vocabulary("sub", "subp", "domain", "range", "type"))[0]
+    return tbox, rows(clients, name("c", "c_custkey"), "type", name("n", "c_nationkey")), rows(deals, name("c", "o_custkey"), "buys", name("o", "o_orderkey"))
+
+
+@query("rdfs_closure", _RDFS.format(""))
+def rdfs_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tbox, clients, deals = _boxes(spark, sf_dir)
+    return closure(tbox, clients.union(deals), _TERMS)[0]
+
+
+@query("rdfs_incremental", _RDFS.format("WHERE o_orderkey % 5 <> 0"))
+def rdfs_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, then orders, come as changes; a part of the orders goes again."""
+    tbox, clients, deals = _boxes(spark, sf_dir)
+    state = Knowledge(spark, _TERMS)
+    state.push(tbox, clients)
+    state.push(abox=deals)
+    state.push(abox=z.weighted(deals.where("CAST(substr(o, 2) AS BIGINT) % 5 = 0"), -1))
+    return state.closure()
 
 
 # -- Structured Streaming ---------------------------------------------------------------

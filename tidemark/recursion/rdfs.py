@@ -16,10 +16,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import zset as z
+from tidemark.operators.zset import W
+from tidemark.recursion.datalog import Datalog
 from tidemark.recursion.fixpoint import MAX_ROUNDS, NotConverged, reach
 from tidemark.session import materialize
 
@@ -70,3 +72,52 @@ def closure(tbox: DataFrame, abox: DataFrame | None = None, terms: Vocabulary =
             return whole, rounds  # each rule has seen the others' results; only a derived schema triple needs another round
     raise NotConverged(f"no closure in {max_rounds} rounds")
 
+
+class Knowledge:
+    """An RDFS closure kept up to date under insertions and deletions in both boxes.
+
+    The six rules run as a Datalog program over weighted triples, so a change is followed to
+    its consequences only. Terms are of one type, that of the triples' columns.
+    """
+
+    def __init__(self, spark: SparkSession, terms: Vocabulary = Vocabulary(), max_rounds: int = MAX_ROUNDS):
+        self.terms, self.program = terms, Datalog(spark, typed=True, max_rounds=max_rounds)
+        t = lambda *args: ("triple", args)
+        data = [t("?x", "?p", "?y"), ("!schema", ("?p",))]
+        self.program.push_rules(
+            [
+                (t("?s", "?p", "?o"), ("tbox", ("?s", "?p", "?o"))),
+                (t("?s", "?p", "?o"), ("abox", ("?s", "?p", "?o"))),
+                (t("?a", terms.sub_class, "?c"), t("?a", terms.sub_class, "?b"), t("?b", terms.sub_class, "?c")),
+                (t("?a", terms.sub_property, "?c"), t("?a", terms.sub_property, "?b"), t("?b", terms.sub_property, "?c")),
+                (t("?x", "?q", "?y"), *data, t("?p", terms.sub_property, "?q")),
+                (t("?x", terms.type, "?c"), *data, ("tbox", ("?p", terms.domain, "?c"))),
+                (t("?y", terms.type, "?c"), *data, ("tbox", ("?p", terms.range, "?c"))),
+                (t("?x", terms.type, "?b"), t("?x", terms.type, "?a"), t("?a", terms.sub_class, "?b")),
+            ]
+        )
+
+    def push(self, tbox: DataFrame | None = None, abox: DataFrame | None = None) -> DataFrame:
+        """Add weighted triples ``s, p, o`` to the boxes; the change of the closure, as a Z-set."""
+        program, boxes = self.program, {}
+        for name, change in (("tbox", tbox), ("abox", abox)):
+            if change is None:
+                continue
+            change = change if W in change.columns else z.weighted(change)
+            boxes[name] = change.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate("spo")), W)
+            if "schema" not in program.facts:
+                kind = F.array(*map(F.lit, self.terms.schema_terms())).cast(f"array<{change.schema['p'].dataType.simpleString()}>")
+                program.push_facts({"schema": z.weighted(program.spark.range(1).select(F.explode(kind).alias("c0")))})
+        if not boxes:
+            raise ValueError("neither box changes")
+        program.push_facts(boxes)
+        program.saturate()
+        change = program.delta.get("triple")
+        if change is None:
+            change = z.weighted(next(iter(boxes.values())).drop(W)).limit(0)
+        return change.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate("spo")), W)
+
+    def closure(self) -> DataFrame | None:
+        """All given and derived triples ``s, p, o``; None before there are any."""
+        held = self.program.model.get("triple")
+        return None if held is None else held.toDF("s", "p", "o")
