@@ -291,3 +291,26 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: The same components from exact intersections of all sets that share a shingle, without signatures.
+OP1_SQL = rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + {SHINGLE - 1}], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) AS p FROM worded WHERE len(w) > 0)
+), sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS h FROM shingles GROUP BY doc_id),
+classes AS (SELECT min(doc_id) AS c, any_value(n) AS n, h FROM sets GROUP BY h),
+members AS (SELECT s.c, s.n, s.h, t.s FROM classes s JOIN shingles t ON t.doc_id = s.c),
+links AS (
+  SELECT a.c AS u, b.c AS v FROM members a JOIN members b ON a.s = b.s AND a.c < b.c AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)
+  GROUP BY a.c, b.c HAVING 100 * count(*) >= {PERCENT} * (any_value(a.n) + any_value(b.n) - count(*))
+), edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT c, c AS r FROM classes UNION SELECT e.v, reach.r FROM reach JOIN edges e ON e.u = reach.c),
+roots AS (SELECT c, min(r) AS root FROM reach GROUP BY c),
+placed AS (SELECT s.doc_id, s.n, root FROM sets s JOIN classes USING (h) JOIN roots USING (c))
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(root, d.doc_id) AS component_id,
+  coalesce(root, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN placed p USING (doc_id)
+"""

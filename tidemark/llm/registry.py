@@ -17,7 +17,9 @@ QUERIES = {
     "op10_matroska": matroska.op10_matroska,
 }
 ORACLE_SQL = {
+    "op1_minhash_dedup": minhash.OP1_SQL,
     "op2_mix_sources": mixing.OP2_SQL,
     "op3_line_dedup": lines.OP3_SQL,
     "op4_quality_rules": quality.OP4_SQL,
+    "op6_substring_dedup": repeats.OP6_SQL,
 }

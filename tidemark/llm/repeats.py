@@ -270,3 +270,18 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: The same words by grouping all windows by their text, without anchors or hashes.
+OP6_SQL = rf"""
+WITH worded AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+starts AS (
+  SELECT doc_id, p, array_to_string(w[p:p + {WINDOW - 1}], ' ') AS words
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS p FROM worded WHERE len(w) >= {WINDOW})
+), again AS (SELECT doc_id, p FROM starts WHERE words IN (SELECT words FROM starts GROUP BY words HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, p + j AS p FROM again, range({WINDOW}) AS r(j)),
+placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM worded),
+left_ AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM worded d LEFT JOIN left_ USING (doc_id)
+"""
