@@ -283,6 +283,86 @@ def test_pipeline_stages(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "minhash_dedup", "source_mix", "sentencepiece"]
 
 
+def brute_quality(values):
+    """Per kept document its text without the lines of more than ``MAX_DOCS`` documents of its source."""
+    words = {d: (t or "").split() for d, t, _ in values}
+    host_docs = collections.defaultdict(set)
+    norm = lambda line: " ".join(line.lower().split())
+    for d, t, s in values:
+        for line in (t or "").split("\n"):
+            if line.split():
+                host_docs[s, norm(line)].add(d)
+    out = []
+    for d, t, s in values:
+        w = words[d]
+        windows = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        repeated = {k for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
+        if len(w) < 10 or 100 * len(repeated) > 20 * len(w):
+            continue
+        left = [x for x in t.split("\n") if len(docs := host_docs[s, norm(x)]) <= quality.MAX_DOCS or d == min(docs)]
+        n = sum(len(x.split()) for x in left)
+        if n >= quality.MIN_WORDS and 100 * n >= quality.MIN_LEFT_PERCENT * len(w):
+            out.append((d, "\n".join(left), s))
+    return out
+
+
+def brute_mix(values):
+    """Every document as often as the mix takes it."""
+    size = collections.Counter()
+    for _, t, s in values:
+        size[s] += len((t or "").split())
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: mixing.WEIGHTS[i % len(mixing.WEIGHTS)] for i, s in enumerate(order)}
+    open_, rest, target = set(order), float(sum(size.values())), {}
+    while open_:
+        level = rest / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > mixing.REPEAT_CAP * size[s]}
+        for s in full or open_:
+            target[s] = float(mixing.REPEAT_CAP * size[s]) if full else level * weight[s]
+            rest -= target[s]
+        open_ -= full or open_
+    out = []
+    for d, t, s in values:
+        rate = target[s] / size[s] if size[s] else 0.0
+        drawn = int(hashlib.md5(f"{mixing.SEED}:{d}".encode()).hexdigest()[:13], 16) / 2**52
+        out += [(d, t, s)] * (int(rate) + (drawn < rate - int(rate)))
+    return out
+
+
+def test_whole_pipeline(spark, tmp_path):
+    """``run`` over a written table, against its five stages by brute force."""
+    import corpus_pipeline
+    import sentencepiece
+
+    from tidemark.llm import pieces
+
+    rng = random.Random(12)
+    common = "this host has written the same line below all of its pages"
+    prose = lambda n: "\n".join(sentence(rng, 12) for _ in range(n))
+    texts = [(prose(3) + "\n" + common, "news") for _ in range(26)] + [(prose(rng.randint(1, 5)), rng.choice(["a", "web", None])) for _ in range(40)]
+    base = prose(6).split("\n")
+    for _ in range(8):  # near copies: two words of each line differ, so the lines stay
+        lines_ = [x.split() for x in base]
+        lines_[0][3], lines_[0][8] = f"x{rng.random()}", f"y{rng.random()}"
+        texts.append((" ".join(" ".join(x) for x in lines_), "web"))
+    texts += [texts[30], (texts[31][0] + "\n" + prose(1), "a"), (texts[32][0].replace("\n", "\n\n"), None), (None, "a"), ("", None), ("too short", "web"), ("again and " * 40, "a"), (common, "news"), (prose(80), "long")]
+    values = [(i, t, s) for i, (t, s) in enumerate(texts)]
+    frame(spark, values).write.parquet(f"{tmp_path}/documents.parquet")
+
+    good = brute_quality(values)
+    gone = brute_lines(good)
+    clean = [(d, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(d, ())), s) for d, t, s in good]
+    clean = [(d, t, s) for d, t, s in clean if d not in gone or t.split()]
+    groups = brute_components(clean)
+    single = [v for v in clean if groups[v[0]][2]]
+    assert len(values) > len(good) > len(clean) > len(single) > 50
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    want = sorted((d, s or "", sp.encode(t, add_eos=True)) for d, t, s in brute_mix(single))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.source or "", list(r.piece_ids)) for r in got) == want
+    assert all(r.round_trip and r.n_tokens == len(r.piece_ids) for r in got)
+
+
 def test_sha_of_registered_query(spark, sf_dir):
     got = registry.QUERIES["op6_substring_dedup"](spark, sf_dir).where("n_removed = 0").limit(5).collect()
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
