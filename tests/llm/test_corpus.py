@@ -189,7 +189,9 @@ def test_line_dedup_of_a_large_group(spark):
     assert got == set(range(41, 5001)) | {9000}
 
 
-def test_substring_dedup(spark):
+@pytest.mark.parametrize("per_task", [repeats._PER_TASK, 400])
+def test_substring_dedup(spark, monkeypatch, per_task):
+    monkeypatch.setattr(repeats, "_PER_TASK", per_task)  # a small one: more partitions than the session's
     rng = random.Random(5)
     shared, other = sentence(rng, 60), sentence(rng, 36)
     values = [sentence(rng, 50) + " " + shared + " " + sentence(rng, 7), shared + " tail", "w " * 90, other + " " + sentence(rng, 40) + " " + other, sentence(rng, 34), None, "", sentence(rng, 200)]

@@ -11,7 +11,8 @@ Probes do not travel as rows of their own. A task packs the entries of a stretch
 input (4-byte hash, about a byte of position, the document's key once) per hash bucket,
 and a bucket is matched with array operations. Entries that already repeat within the
 stretch are settled there and sent once, so no hash is hot. The number of buckets follows
-the size of the texts, which bounds what one bucket holds. False hits of the short hashes
+the size of the texts, which bounds what one bucket holds, and so does the number of tasks
+of every shuffle where the session's is too small for it. False hits of the short hashes
 only nominate windows; the windows are compared by 64-bit hashes within their bucket.
 
 Defined results: null and empty texts have no words; texts of fewer than ``WINDOW`` words
@@ -38,6 +39,8 @@ BLOCK = (WINDOW + 1) // 2
 _PACK = 16 << 20
 _PER_BUCKET = 16 << 20
 _LEAST_BUCKETS = 64
+#: Bytes of text that one task after a shuffle stands for at most, on average.
+_PER_TASK = 128 << 20
 _CHUNK = 1 << 20
 
 
@@ -215,10 +218,16 @@ def _window_entries(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield int(offsets[b] - offsets[a]) // 4, all_keys[a:b], row[chosen], place[chosen], hashes[chosen], np.ones(int(chosen.sum()), bool)
 
 
-def _matched(docs: DataFrame, entries: Callable, buckets: int, width: int, anchored: bool) -> DataFrame:
-    packed = docs.mapInArrow(_sender(entries, buckets, width), "bucket int, entries binary")
+def _spread(df: DataFrame, key: str, size: int) -> DataFrame:
+    """``df`` by ``key`` in partitions for texts of ``size`` bytes, where the session's number is too small for them."""
+    parts = -(-size // _PER_TASK)
+    return df.repartition(parts, key) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def _matched(docs: DataFrame, entries: Callable, buckets: int, width: int, anchored: bool, size: int) -> DataFrame:
+    packed = _spread(docs.mapInArrow(_sender(entries, buckets, width), "bucket int, entries binary"), "bucket", size)
     hits = packed.groupBy("bucket").applyInArrow(_matcher(anchored), f"{_KEY} bigint, {_PLACES} binary")
-    return hits.groupBy(_KEY).agg(F.collect_list(_PLACES).alias(_PLACES))
+    return _spread(hits, _KEY, size).groupBy(_KEY).agg(F.collect_list(_PLACES).alias(_PLACES))
 
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -227,10 +236,11 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(_LEAST_BUCKETS, 1 << (size // _PER_BUCKET).bit_length())
     keyed = docs.select(F.xxhash64("doc_id", "text").alias(_KEY), *docs.columns)
-    hits = _matched(keyed.select(_KEY, "text"), _block_entries, buckets, 4, True)
+    hits = _matched(keyed.select(_KEY, "text"), _block_entries, buckets, 4, True, size)
+    keyed = _spread(keyed, _KEY, size)
     # with all columns, so that the last join finds its texts shuffled already
     around = keyed.join(hits.hint("shuffle_hash"), _KEY)
-    found = _matched(around, _window_entries, buckets, 8, False)
+    found = _matched(around, _window_entries, buckets, 8, False, size)
     return keyed, found
 
 
