@@ -188,6 +188,40 @@ def test_added_tokens_are_matched_by_case():
         assert ids[a:b].tolist() == [*bpe.tokenizer.encode(t, add_special_tokens=False).ids, token_shards.END_ID]
 
 
+def test_a_word_is_one_unit_whatever_stands_around_it():
+    bpe = token_shards.WordBpe(token_shards.vocabulary_path())
+    given, encode = [], bpe.memory.encode
+    bpe.memory.encode = lambda units: given.extend(units) or encode(units)
+    bpe.encode(["Vlurbo, (vlurbo) vlurbo!", "é vlurbo&&& crèvlu. crèvlu,a", None, ""])
+    assert sorted(given) == sorted(["vlurbo", "crèvlu", "é", "a", ",", ".", "!", "(", ")", "&&&"])
+    texts, library = [], bpe._library
+    bpe._library = lambda values: texts.extend(values) or library(values)
+    values = [" ".join("qzx" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(600))]
+    ids, _ = bpe.encode(values)
+    assert len(texts) == 3 and ids.tolist() == [*bpe.tokenizer.encode(values[0], add_special_tokens=False).ids, token_shards.END_ID]
+
+
+def test_cut_units_equal_the_library(tmp_path):
+    import json
+
+    bpe = token_shards.WordBpe(token_shards.vocabulary_path())
+    marks = [*"abzSTZ09.,!'<|>&é×İŉſßʰΣ漢²", "'s", "'RE", "<|endoftext|>", "<|STARTOFTEXT|>", "\u0301", "\u0338", "\u0307", "\u0308", "\u1100", "\u1161", " ", " ", "\n", "\t", "\xa0"]
+    rng = random.Random(8)
+    values = [None, "", *("".join(rng.choices(marks, k=rng.randint(1, 12))) for _ in range(20_000))]
+    values += [f"a{chr(c)}, {chr(c)}b {chr(c)},{chr(c)}.A{chr(c)}" for c in range(0x2100)]
+    spec = json.load(open(token_shards.vocabulary_path(), encoding="utf-8"))
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[^\s]+"  # no word ends before a comma
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    other = token_shards.WordBpe(str(tmp_path / "other.json"))
+    assert bpe.cuts and not other.cuts
+    for tok, some in ((bpe, values), (other, values[:2000])):
+        ids, offsets = tok.encode(some)
+        want = tok.tokenizer.encode_batch_fast([t or "" for t in some], add_special_tokens=False)
+        for t, a, b, e in zip(some, offsets[:-1], offsets[1:], want, strict=True):
+            assert ids[a:b].tolist() == [*e.ids, token_shards.END_ID], t
+    assert bpe.encode([None, ""])[0].tolist() == [token_shards.END_ID] * 2
+
+
 def test_html_regions_follow_the_threshold(monkeypatch):
     links = "".join(f"<li><a href='/{k}'>part {k}</a></li>" for k in range(9))
     text = "".join(f"<p>{'A sentence of this page that goes on for some words. ' * 3}</p><p>Short {k}.</p>" for k in range(4))

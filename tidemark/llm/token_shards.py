@@ -20,6 +20,7 @@ empty shard table; other columns are not stored.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,6 +39,8 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Bytes of ids after which a shard is closed.
 SHARD_BYTES = 4 << 20
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 2 << 20
 _NULL_KEY = np.int64(-(1 << 63))
 
 SHARDS = "first_doc long, last_doc long, part int, seq int, n_docs long, n_ids long, width int, ids binary, hash binary, offsets binary, lengths binary, fingerprints binary, keys binary, null_docs long"
@@ -50,14 +53,28 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: What a vocabulary must say of itself for its texts to be cut.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+#: UTF-8 between U+00C0 and U+017F that is no letter, or none alone in lower case: two signs and the dotted capital I.
+_NO_LETTERS = np.array([0xC397, 0xC3B7, 0xC4B0])
+
+
 class WordBpe:
     """Ids of a lower-casing word BPE, whose tokens never cross white space.
 
-    The pre-tokenizer also parts an ASCII letter from the comma or full stop that ends a
-    word, so both are units of their own there.
+    Its pre-tokenizer also parts a letter from an ASCII character that is none, an apostrophe
+    before the letter excepted. A text's units are cut at both, so that a word is one unit
+    whatever stands around it. New units of letters alone are one word each and are handed
+    to the library many at a time, between spaces; their ids end where a word ends. Texts
+    of a vocabulary that is built otherwise are not cut.
     """
 
-    _END = re.compile(r"(?<=[A-Za-z])(?=[,.] )")
+    #: New words in one text for the library.
+    TOGETHER = 200
 
     def __init__(self, path: str):
         import os
@@ -68,19 +85,76 @@ class WordBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.memory = UnitMemory(self._encode, 600_000)
+        with open(path, encoding="utf-8") as file:
+            self.cuts = self._may_cut(json.load(file))
+        self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
-    def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        rows = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        lengths = np.array([len(r) for r in rows], np.int64)
-        return np.array([i for r in rows for i in r], np.int64), lengths
+    @staticmethod
+    def _may_cut(spec: dict) -> bool:
+        """Whether words are found as the cuts assume, and added tokens start with ``<|`` and hold no white space."""
+        parts = (spec["normalizer"], spec["pre_tokenizer"], spec["post_processor"], spec["model"].get("end_of_word_suffix"))
+        added = [x for x in spec["added_tokens"] if x["lstrip"] or x["rstrip"] or x["normalized"] or not re.fullmatch(r"<\|\S+", x["content"])]
+        return parts == (_NORMALIZER, _PRE_TOKENIZER, None, "</w>") and not added
 
-    def keys(self, text: str) -> list[str]:
-        if text.isascii() and "<|" not in text:  # added tokens are matched by case
-            text = text.lower()
-        return self._END.sub(" ", text.replace("\n", " ") + " ").split(" ")
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.memory.rows([self.keys(t) if t else [] for t in texts], END_ID)
+    def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words = [i for i, u in enumerate(units) if u.isalpha()] if self.cuts else []
+        runs = [words[k : k + self.TOGETHER] for k in range(0, len(words), self.TOGETHER)]
+        order, found, lengths = [], [], []
+        for run, ids in zip(runs, self._library([" ".join([units[i] for i in run]) for run in runs]), strict=True):
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(run):  # else the library sees several words in one of the units
+                order += run
+                found.append(ids)
+                lengths.append(np.diff(ends, prepend=0))
+        rest = sorted(set(range(len(units))).difference(order))
+        found += (rows := self._library([units[i] for i in rest]))
+        lengths = np.concatenate([*lengths, np.array([len(r) for r in rows], np.int64)])
+        back = np.argsort(np.array(order + rest, np.int64))
+        starts = np.cumsum(lengths) - lengths
+        return np.concatenate([np.zeros(0, np.int32), *found])[ragged(starts[back], lengths[back])], lengths[back]
+
+    def units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Units of an Arrow column of texts, end to end, and their number in each text."""
+        data, offsets = utf8_parts(texts)
+        gap = (data == 32) | (data == 10) if self.cuts else np.zeros(len(data), bool)
+        start = np.zeros(len(data) + 1, bool)
+        start[offsets[:-1]] = True
+        marked = np.zeros(0, np.int64)
+        if self.cuts:
+            start[1:] |= gap
+            marked = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+            if len(marked):  # added tokens are matched in the text as it is: words with such a mark stay whole
+                whole = np.flatnonzero(start[:-1] & ~gap)
+                marked = whole[np.unique(np.searchsorted(whole, marked, side="right")) - 1]
+            first = (data | 32) - np.uint8(ord("a")) < 26
+            other = (data - np.uint8(ord("!")) < 94) & ~first
+            lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC5))
+            lead = lead[~np.isin(data[lead].astype(np.int64) << 8 | data[lead + 1], _NO_LETTERS)]
+            last = first.copy()
+            first[lead] = last[lead + 1] = True
+            cut = (last[:-1] & other[1:]) | (other[:-1] & (data[:-1] != ord("'")) & first[1:])
+            edges = np.r_[np.flatnonzero(start), len(data)]
+            cut[ragged(marked, edges[np.searchsorted(edges, marked, side="right")] - marked - 1)] = False
+            start[1:-1] |= cut
+        start = start[:-1] & ~gap
+        sizes = np.diff(np.searchsorted(np.flatnonzero(start), offsets))
+        kept, at = data[~gap], np.flatnonzero(start[~gap])
+        if self.cuts and len(at):
+            lower = np.maximum.reduceat(kept, at) < 128
+            lower[np.searchsorted(np.flatnonzero(start), marked)] = False
+            upper = (kept - np.uint8(ord("A")) < 26) & np.repeat(lower, np.diff(at, append=len(kept)))
+            kept = kept | upper.view(np.uint8) << 5
+        ends = np.r_[at, len(kept)].astype(np.int32)
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(kept))), sizes
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        units, sizes = self.units(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+        coded = units.dictionary_encode()
+        return self.memory.gather(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), sizes, END_ID)
 
 
 @functools.lru_cache(maxsize=2)
@@ -114,6 +188,20 @@ def _shard(part: int, seq: int, docs: np.ndarray, known: np.ndarray, ids: np.nda
     }
 
 
+def _joined(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ``limit`` bytes or more."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode ``doc_id, text`` into shards under ``path``, in ascending order of ids."""
     vocabulary = vocabulary or vocabulary_path()
@@ -128,13 +216,13 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, shar
             joined = [np.concatenate(x) for x in zip(*held, strict=True)]
             return pa.RecordBatch.from_pylist([_shard(part, seq, *joined, bpe.width)], schema=_ARROW_SHARDS)
 
-        for batch in batches:
+        for batch in _joined(batches, SLICE_BYTES):
             column = batch.column("text")
             doc = batch.column("doc_id")
             known_all = np.asarray(doc.is_valid())
             ids_all = np.where(known_all, np.asarray(doc.fill_null(0)), _NULL_KEY).astype(np.int64)
-            for start, end in row_slices(utf8_parts(column)[1], 2 << 20):
-                ids, offsets = bpe.encode([x or "" for x in column.slice(start, end - start).to_pylist()])
+            for start, end in row_slices(utf8_parts(column)[1], SLICE_BYTES):
+                ids, offsets = bpe.encode(column.slice(start, end - start))
                 held.append((ids_all[start:end], known_all[start:end], ids, np.diff(offsets)))
                 filled += len(ids) * bpe.width
                 if filled >= shard_bytes:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm.common import ragged
 
@@ -67,21 +68,26 @@ class UnitMemory:
 
     def rows(self, keys_of_rows: list[list[str]], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and offsets of rows of units, with the id ``end`` last in each row."""
+        places: dict[str, int] = {}
+        index = np.array([places.setdefault(k, len(places)) for keys in keys_of_rows for k in keys], np.int64)
+        return self.gather(list(places), index, np.array([len(keys) for keys in keys_of_rows], np.int64), end)
+
+    def gather(self, names: list[str], index: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for rows of ``sizes`` units, all of which ``index`` lists as places in ``names``, the distinct units."""
         if len(self.numbers) > self.limit or self.used > self.limit_ids:
             self._trim()
-        known, number, row = len(self.numbers), self.numbers.__getitem__, []
-        sizes = np.zeros(len(keys_of_rows), np.int64)
-        for i, keys in enumerate(keys_of_rows):
-            row.extend(map(number, keys))
-            sizes[i] = len(keys)
+        known = len(self.numbers)
+        number = np.array(list(map(self.numbers.__getitem__, names)), np.int64)
         if self.numbers.fresh:
             self._remember(known, *self.encode(list(self.numbers.fresh)))
-        units = np.array(row, np.int64)
-        self.seen[: len(self.numbers)] += np.bincount(units, minlength=len(self.numbers))
-        lengths = self.length[units]
-        offsets = np.r_[0, np.r_[0, np.cumsum(lengths)][np.cumsum(sizes)] + np.arange(1, len(sizes) + 1)]
-        ids = np.full(int(offsets[-1]), end, np.int32)
-        place = np.ones(len(ids), bool)
-        place[offsets[1:] - 1] = False
-        ids[place] = self.store[ragged(self.at[units], lengths)]
-        return ids, offsets
+        self.seen[number] += np.bincount(index, minlength=len(names))
+        lengths = np.r_[self.length[number], 1]
+        starts = np.r_[0, np.cumsum(lengths)]
+        values = np.r_[self.store[ragged(self.at[number], lengths[:-1])], np.int32(end)]
+        ends = np.cumsum(sizes) + np.arange(len(sizes))
+        order = np.full(len(index) + len(sizes), len(names), np.int32)
+        inner = np.ones(len(order), bool)
+        inner[ends] = False
+        order[inner] = index
+        ids = pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), pa.array(values, pa.int32())).take(pa.array(order))
+        return ids.flatten().to_numpy(), np.r_[0, np.cumsum(lengths[order])[ends]]
