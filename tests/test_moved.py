@@ -3,6 +3,10 @@
 from pyspark.sql import functions as F
 from test_recursion import session
 
+from tidemark.functions import aggregates as agg
+from tidemark.operators import zset as z
+from tidemark.plans.circuit import Circuit
+
 
 def shuffled(spark, run):
     """Rows that were shuffled while ``run`` ran."""
@@ -33,3 +37,19 @@ def test_cycles_are_not_sought_among_open_paths(spark):
     d = session(spark, [rule], {"e": edges.union(ring)}, typed=True)
     assert shuffled(spark, d.saturate) < 300_000
     assert {tuple(r) for r in d.model["cycle"].collect()} == {tuple(1000 + (k + s) % 4 for k in range(4)) for s in range(4)}
+
+
+def test_pandas_groups_are_cut_from_batches(spark):
+    """Groups across batches and with nulls are what applyInPandas gives, without a Python call's stream for each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, 3)
+    try:
+        big = 2**53 + 1
+        rows = z.from_rows(spark, {(None, 1, big): 1, (1, 1, big): 1, (1, 2, None): 1, (1, None, 7): 2, (2, 5, big): 1, **{(3, k, k): 1 for k in range(10)}}, "k long, a long, b long")
+        describe = lambda rows: f"{len(rows)} {list(rows.columns)} {rows['b'].dtype} {rows['b'].sum()} {rows['k'].isna().sum()} {sorted(rows.index)}"
+        found = agg.aggregate_pandas(rows, ["k"], describe, "seen", "string")
+        want = rows.groupBy("k").applyInPandas(lambda key, g: __import__("pandas").DataFrame([(*key, describe(g), 1)], columns=["k", "seen", "_w"]), "k long, seen string, _w long")
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+        assert sorted(found.collect(), key=str) == sorted(want.collect(), key=str)
+    finally:
+        spark.conf.set(key, 10_000)
