@@ -8,8 +8,8 @@ from tidemark.operators import zset as z
 from tidemark.plans.circuit import Circuit
 
 
-def shuffled(spark, run):
-    """Rows that were shuffled while ``run`` ran."""
+def shuffled(spark, run, broadcast=-1):
+    """Rows that were shuffled while ``run`` ran, by default as if no table were small enough for a broadcast."""
     sc = spark.sparkContext
 
     def total():
@@ -20,7 +20,7 @@ def shuffled(spark, run):
 
     key = "spark.sql.autoBroadcastJoinThreshold"
     limit, before = spark.conf.get(key), total()
-    spark.conf.set(key, -1)  # as if the tables were too large for it
+    spark.conf.set(key, broadcast)
     try:
         run()
     finally:
@@ -53,3 +53,17 @@ def test_pandas_groups_are_cut_from_batches(spark):
         assert sorted(found.collect(), key=str) == sorted(want.collect(), key=str)
     finally:
         spark.conf.set(key, 10_000)
+
+
+def test_sums_do_not_move_rows(spark):
+    """Exact sums shuffle groups, not rows; a group whose weights cancel exists while its records differ."""
+    circuit = Circuit(spark)
+    source = circuit.source("t", "id long, k long, v long")
+    source.group_by(["k"], agg.total("v", "total"), agg.count("n")).view("out")
+    rows = spark.range(20_000).select("id", (F.col("id") % 5).alias("k"), (F.col("id") % 7).alias("v"))
+    circuit.push("t", rows)
+    moved = shuffled(spark, lambda: circuit.push("t", z.weighted(rows.where("k = 1 AND id > 6"), -1)), 2**20)
+    assert moved < 6_000  # the 3,998 rows of the change are consolidated for the source's sum; its groups' rows before stay
+    circuit.push("t", z.from_rows(spark, {(1, 1, 1): -1, (6, 1, 6): -1, (90_000, 8, 3): 1, (90_001, 8, 3): -1}, "id long, k long, v long"))
+    found = z.to_rows(circuit.snapshot("out"))
+    assert found == {**{(k, sum(i % 7 for i in range(k, 20_000, 5)), 4000): 1 for k in (0, 2, 3, 4)}, (8, 0, 0): 1}

@@ -8,7 +8,7 @@ batch query on the sums of the sources:
 * linear nodes map the change alone and keep nothing;
 * joins emit ``A_new >< dB + dA >< B_old``;
 * distinct compares the touched rows' weights before and after;
-* group-by recomputes the touched groups before and after.
+* group-by recomputes the touched groups before and after; exact sums add up without consolidating rows.
 
 Only sums that a node needs are kept, as appended segments. Joins read them as they are;
 distinct and group-by first cut them to the touched keys, by semi-joins that Spark
@@ -28,13 +28,14 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DecimalType, IntegralType, StructType
 
 from tidemark import progress
 from tidemark.functions.aggregates import Agg, aggregate, aggregate_pandas
 from tidemark.operators import zset as z
 from tidemark.operators.zset import W
 from tidemark.plans.state import ParquetStore, Store
+from tidemark.session import materialize
 
 
 @dataclass(eq=False)
@@ -132,12 +133,12 @@ class Node:
         return self.minus(other).unique()
 
     def group_by(self, keys: Sequence[str], *aggs: Agg) -> Node:
-        fn = lambda d: aggregate(d, keys, aggs)
-        return self.circuit._add("group_by", (self,), _grouped(keys, fn), op=lambda d: fn(z.consolidate(d)))
+        fn = lambda d, by: aggregate(d, by, aggs)
+        return self.circuit._add("group_by", (self,), _grouped(keys, fn, aggs), op=lambda d: fn(z.consolidate(d), keys))
 
     def group_by_pandas(self, keys: Sequence[str], fn: Callable, name: str, kind: str) -> Node:
-        run = lambda d: aggregate_pandas(d, keys, fn, name, kind)
-        return self.circuit._add("group_by", (self,), _grouped(keys, run), op=lambda d: run(z.consolidate(d)))
+        run = lambda d, by: aggregate_pandas(d, by, fn, name, kind, [k for k in by if k == _SIDE])
+        return self.circuit._add("group_by", (self,), _grouped(keys, run), op=lambda d: run(z.consolidate(d), keys))
 
     # -- time -----------------------------------------------------------------------
 
@@ -227,17 +228,61 @@ def _distinct(at: Epoch) -> DataFrame:
 _distinct.reads_sums = True
 
 
-def _grouped(keys: Sequence[str], fn: Callable[[DataFrame], DataFrame]) -> Callable:
+_SIDE = "_side"
+
+
+def _grouped(keys: Sequence[str], fn: Callable[[DataFrame, Sequence[str]], DataFrame], aggs: Sequence[Agg] | None = None) -> Callable:
+    """The touched groups before (side 0) and after (side 1), both from one pass over their rows."""
+
     def rule(at: Epoch) -> DataFrame:
-        change = at.change(0)
-        touched = change.select(*keys).distinct() if keys else change.select(F.lit(1).alias("_k")).limit(1)
-        old = z.consolidate(z.semi(at.old(0), touched, keys))
-        return z.subtract(fn(z.add(old, change)), fn(old))
+        change, dry = at.change(0), isinstance(at, _NoEpoch)
+        if keys:
+            touched = change.select(*keys).distinct()
+            touched = touched if dry else materialize(touched, "touched")  # its size is known then
+        else:
+            touched = change.select(F.lit(1).alias("_k")).limit(1)
+        old = z.semi(at.old(0), touched, keys)
+        by = [*keys, _SIDE]
+        if aggs is not None and _exact(change, aggs):
+            found = _by_sums(old, change, by, aggs, dry)
+        else:
+            names = z.payload(change)
+            rows = old.withColumn("_old", F.col(W)).unionByName(change.withColumn("_old", F.lit(0).cast("long")))
+            both = rows.groupBy(*names).agg(F.sum("_old").alias("_old"), F.sum(W).alias(W))
+            sides = F.filter(F.array(F.struct(F.lit(0).alias(_SIDE), F.col("_old").alias(W)), F.struct(F.lit(1).alias(_SIDE), F.col(W).alias(W))), lambda x: x[W] != 0)
+            found = fn(both.select(*names, F.inline(sides)), by)
+        return z.consolidate(found.withColumn(W, F.when(F.col(_SIDE) == 1, F.col(W)).otherwise(-F.col(W))).drop(_SIDE))
 
     rule.reads_sums = True
     return rule
 
 
+def _exact(rows: DataFrame, aggs: Sequence[Agg]) -> bool:
+    """Whether the aggregates are sums of whole or decimal numbers, the same in any order and consolidated or not."""
+    if any(a.sums is None for a in aggs):
+        return False
+    kinds = rows.select(*(v.alias(f"c{i}") for i, v in enumerate(v for a in aggs for v in a.sums))).schema
+    return all(isinstance(f.dataType, (IntegralType, DecimalType)) for f in kinds)
+
+
+def _by_sums(old: DataFrame, change: DataFrame, by: Sequence[str], aggs: Sequence[Agg], dry: bool) -> DataFrame:
+    """Aggregates that weighted sums give: rows are added up where they stand, and only groups are shuffled.
+
+    A group whose weights add up to something exists; where they add up to zero its rows are
+    consolidated, as they may all have gone or be of both signs.
+    """
+    sides = lambda *n: F.explode(F.array(*map(F.lit, n))).alias(_SIDE)
+    rows = old.select("*", sides(0, 1)).unionByName(change.select("*", sides(1)))
+    found = rows.groupBy(*by).agg(*(a.column.alias(a.name) for a in aggs), F.sum(W).alias("_n"))
+    if not dry:
+        found = materialize(found, "groups")
+        doubtful = found.where(F.col("_n") == 0)
+        if not doubtful.isEmpty():
+            left = z.semi(rows, doubtful, by).groupBy(*z.payload(rows)).agg(F.sum(W).alias(W)).where(F.col(W) != 0)
+            found = found.where(F.col("_n") != 0).unionByName(z.semi(doubtful, left.select(*by).distinct(), by))
+    return found.drop("_n").withColumn(W, F.lit(1).cast("long"))
+
+
 class Circuit:
     """A graph of nodes and the state of its run."""
 
