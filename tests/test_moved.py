@@ -6,6 +6,7 @@ from test_recursion import session
 from tidemark.functions import aggregates as agg
 from tidemark.operators import zset as z
 from tidemark.plans.circuit import Circuit
+from tidemark.recursion.fixpoint import reach
 
 
 def shuffled(spark, run, broadcast=-1):
@@ -67,3 +68,13 @@ def test_sums_do_not_move_rows(spark):
     circuit.push("t", z.from_rows(spark, {(1, 1, 1): -1, (6, 1, 6): -1, (90_000, 8, 3): 1, (90_001, 8, 3): -1}, "id long, k long, v long"))
     found = z.to_rows(circuit.snapshot("out"))
     assert found == {**{(k, sum(i % 7 for i in range(k, 20_000, 5)), 4000): 1 for k in (0, 2, 3, 4)}, (8, 0, 0): 1}
+
+
+def test_rounds_do_not_move_what_is_known(spark):
+    """A chain of 24 edges beside 20,000 single ones: rounds shuffle what they add."""
+    edges = spark.range(20_000).select((F.col("id") * 2 + 1000).alias("src"), (F.col("id") * 2 + 1001).alias("dst"))
+    edges = edges.union(spark.range(24).select("id", F.col("id") + 1))
+    for hops in (False, True):
+        out = []
+        moved = shuffled(spark, lambda hops=hops, out=out: out.append(reach(edges, hop_by_hop=hops)[0].count()))
+        assert out == [20_300] and moved < 150_000
