@@ -78,3 +78,16 @@ def test_rounds_do_not_move_what_is_known(spark):
         out = []
         moved = shuffled(spark, lambda hops=hops, out=out: out.append(reach(edges, hop_by_hop=hops)[0].count()))
         assert out == [20_300] and moved < 150_000
+
+
+def test_facts_get_buckets_by_their_number(spark, monkeypatch):
+    """Tasks do not grow with the facts: their tables have as many buckets as rows need, more as more come."""
+    monkeypatch.setattr("tidemark.session.TASK_ROWS", 100)
+    rows = spark.range(1500).select(F.col("id").alias("c0"), (F.col("id") + 5000).alias("c1"))
+    d = session(spark, [(("n", ("?X",)), ("e", ("?X", "?Y")))], {"e": rows.where("c0 < 500")}, typed=True)
+    d.saturate()
+    assert len(d.facts["e"].inputFiles()) == len(d.model["n"].inputFiles()) == 5
+    d.push_facts({"e": rows.where("c0 >= 500")})
+    d.saturate()
+    assert len(d.facts["e"].inputFiles()) >= 10 and len(d.model["n"].inputFiles()) >= 10
+    assert d.model["n"].count() == 1500
